@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "packing")
+MODULES = ("toxicity", "packing", "decontaminate", "simhash", "quality")
 
 
 def _parts():
