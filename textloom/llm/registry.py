@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "packing", "decontaminate", "simhash", "quality")
+MODULES = ("toxicity", "urls", "html_text", "packing", "decontaminate", "simhash", "pii", "quality")
 
 
 def _parts():
@@ -15,6 +15,7 @@ def queries() -> dict:
     found = {}
     for part in _parts():
         found.update(part.QUERIES)
+    found["pipeline"] = importlib.import_module("corpus_pipeline").run
     return found
 
 

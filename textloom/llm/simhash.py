@@ -198,6 +198,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fps.join(of, "fp").select("key", "fp", "component_id")
 
 
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """One row of each component: the first by key, then by a hash of the row. All columns stay.
+
+    A row with a null key stays only if its component has no key.
+    """
+    order = F.xxhash64(*(F.col(c) for c in docs.columns))
+    found = near_duplicates(docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), order.alias("h")).alias("row"), F.col(text).alias("text")), "text", "row", shingle)
+    stay = found.select(F.col("component_id").alias("row")).distinct()
+    once = stay.select(F.col("row.k").alias("stay_k"), F.col("row.h").alias("stay_h"))
+    same = F.col(key).eqNullSafe(F.col("stay_k")) & (order == F.col("stay_h"))
+    kept = docs.join(once, same, "left_semi")
+    # rows repeated in full have one hash; of those, one stays
+    return kept.dropDuplicates() if _repeats(docs, key, order) else kept
+
+
+def _repeats(docs: DataFrame, key: str, order) -> bool:
+    return bool(docs.groupBy(F.col(key), order).count().filter("count > 1").take(1))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
