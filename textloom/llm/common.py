@@ -47,3 +47,40 @@ def ascii_lower(c: Column) -> Column:
 
 def text_column(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Call ``each`` with the rows (tuples of df's columns) of every group, in order; nulls are a key of their own.
+
+    Groups are streamed from sorted partitions, many to a batch, so only one group is held at a time:
+    callers see to it that groups are bounded.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    at = [df.columns.index(k) for k in keys]
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
+    def run(batches):
+        last, group, out = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = [row[i] for i in at]
+                if group and key != last:
+                    out += each(group)
+                    group = []
+                    if len(out) > 2000:
+                        yield batch_of(out)
+                        out = []
+                last = key
+                group.append(row)
+        if group:
+            out += each(group)
+        if out:
+            yield batch_of(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

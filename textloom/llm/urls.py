@@ -129,10 +129,7 @@ def op3_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
 
 
-_RULE_CASE = " ".join(
-    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{v}}}".replace("{" + v + "}", f"'{h}{p}'")
-    for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-)
+_RULE_CASE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 _VERDICT_CASE = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
