@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "urls", "html_text", "packing", "decontaminate", "chat", "simhash", "pii", "quality")
+MODULES = ("toxicity", "language_model", "urls", "html_text", "packing", "decontaminate", "chat", "simhash", "pii", "quality")
 
 
 def _parts():
