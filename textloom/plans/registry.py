@@ -1,19 +1,130 @@
-"""All queries of the text-checking engine, by name, with their reference SQL."""
+"""All queries of the text-checking engine, by name, with their reference SQL.
+
+Documents of the test tables hold no Khmer, so Khmer rules run on an overlay: one of a few Khmer lines
+by doc_id, a line feed, and the start of the document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import chars, normalize, spans
+from textloom.operators import sentences, surface, terms
+
+LINES = (
+    "ខ្ញុំទៅផ្សារ។។ គាត់មក!!",
+    "គេ ៗ​​ និយាយ , ហើយៗៗ «ពាក្យ",
+    "ឆ្នាំ២០២៤ និង 2024 និង/ឬ ៥ »",
+    "‪អក្សរ‬ � ៘ បញ្ចប់??",
+    "កាំ​កំុ ស្រ្តី កេី កេា ឣាយុ",
+    "«មួយ» «ពីរ ១២ 3 4",
+)
+TERM_RULES = (("the", "the"), ("and", "und"), ("of", "des"), ("khmer", "ខ្ញុំ"), ("mark", "!!"))
+#: (key, flags, frequency, parts of speech)
+LEXICON = (("ក", 1, 5, 1), ("ក", 4, 9, 2), ("ខ", 128, 0, 32), ("ខ", 1, 2, 32), ("គ", 64, 1, 0))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*(F.lit(x) for x in LINES)), (F.col("doc_id") % len(LINES) + 1).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(line, F.lit("\n"), F.substring("text", 1, 40)).alias("text"))
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+DOCS_SQL = "(SELECT doc_id, text FROM documents)"
+OVERLAY_SQL = f"(SELECT doc_id, list_extract([{', '.join(map(_quote, LINES))}], (doc_id % {len(LINES)} + 1)::INT) || chr(10) || substr(text, 1, 40) AS text FROM documents)"
+_SUGGEST = "CASE WHEN rule_id = 'punct.repeated-khan' THEN '។' WHEN rule_id = 'punct.repeated-mark' THEN substr(original, length(original), 1) WHEN rule_id IN ('punct.space-before-lek-too', 'punct.double-lek-too') THEN 'ៗ' WHEN rule_id = 'punct.space-before-comma' THEN ',' WHEN rule_id = 'unicode.deprecated' THEN '។ល។' WHEN rule_id = 'unicode.zwsp-repeat' THEN chr(8203) WHEN rule_id = 'unicode.bidi-control' THEN '' END"
+_SENTENCES = rf"""(
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS sent, sentence, len(words)::BIGINT AS n_words, words FROM (
+  SELECT doc_id, piece, trim(sentence, ' ') AS sentence, list_filter(string_split_regex(sentence, '[ \t]+'), lambda w: w <> '') AS words FROM (
+    SELECT doc_id, unnest(range(len(g))) AS piece, unnest(g) AS sentence FROM (SELECT doc_id, string_split_regex(text, '{sentences.SENTENCE_END}') AS g FROM documents) AS a) AS b) AS c
+WHERE len(words) > 0)"""
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _one_rule(rule: str):
+    rules = {rule: surface.RULES[rule]}
+    return lambda spark, sf_dir: surface.surface_findings(_overlay(spark, sf_dir), rules)
+
+
+for _rule in surface.RULES:
+    _add("span_" + _rule.split(".")[1].replace("-", "_"), _one_rule(_rule), f"SELECT doc_id, rule_id, start, stop, original, {_SUGGEST} AS suggestion FROM ({spans.findings_sql(OVERLAY_SQL, {_rule: surface.RULES[_rule]})}) AS f")
+
+_add("surface_findings", lambda s, d: surface.surface_findings(_docs(s, d)), f"SELECT doc_id, rule_id, start, stop, original, {_SUGGEST} AS suggestion FROM ({spans.findings_sql(DOCS_SQL, surface.RULES)}) AS f")
+_add(
+    "line_locator",
+    lambda s, d: surface.located(_docs(s, d), {"punct.repeated-mark": surface.RULES["punct.repeated-mark"]}),
+    f"SELECT doc_id, rule_id, start, (length(b) - length(replace(b, chr(10), '')) + 1)::BIGINT AS line, (length(list_extract(string_split(b, chr(10)), -1)) + 1)::BIGINT AS col FROM (SELECT *, substr(text, 1, start::INT) AS b FROM ({spans.findings_sql(DOCS_SQL, {'punct.repeated-mark': surface.RULES['punct.repeated-mark']})}) AS f) AS g",
+)
+_add(
+    "quotes_unbalanced",
+    lambda s, d: surface.unbalanced_quotes(_overlay(s, d)),
+    f"""WITH q AS (SELECT doc_id, start, original, CASE original WHEN '«' THEN 1 ELSE -1 END AS step FROM ({spans.findings_sql(OVERLAY_SQL, {'quote': '[«»]'})}) AS f),
+s AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY start) AS up, sum(-step) OVER (PARTITION BY doc_id ORDER BY start DESC) AS back FROM q),
+m AS (SELECT *, coalesce(min(up) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
+  coalesce(min(back) OVER (PARTITION BY doc_id ORDER BY start DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_back FROM s)
+SELECT doc_id, start, original FROM m WHERE (step = -1 AND up < least(low, 0)) OR (step = 1 AND back < least(low_back, 0))""",
+)
+_add(
+    "digits_mixed",
+    lambda s, d: surface.mixed_digits(_overlay(s, d)),
+    f"""WITH f AS ({spans.findings_sql(OVERLAY_SQL, {'khmer': r'[\x{17E0}-\x{17E9}]+', 'arabic': '[0-9]+'})}),
+c AS (SELECT *, count(*) FILTER (rule_id = 'khmer') OVER (PARTITION BY doc_id) AS k, count(*) FILTER (rule_id = 'arabic') OVER (PARTITION BY doc_id) AS a FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM c WHERE k > 0 AND a > 0 AND rule_id = CASE WHEN a <= k THEN 'arabic' ELSE 'khmer' END)
+SELECT doc_id, start, original, rule_id AS system FROM r WHERE n <= 20""",
+)
+_add("digit_system", lambda s, d: _overlay(s, d).select("doc_id", chars.to_khmer_digits(F.col("text")).alias("khmer"), chars.to_arabic_digits(F.col("text")).alias("arabic")), f"SELECT doc_id, translate(text, '{chars.ARABIC_DIGITS}', '{chars.KHMER_DIGITS}') AS khmer, translate(text, '{chars.KHMER_DIGITS}', '{chars.ARABIC_DIGITS}') AS arabic FROM {OVERLAY_SQL} AS o")
+_add("char_predicates", lambda s, d: _overlay(s, d).select("doc_id", *(chars.has(F.col("text"), k).alias(f"has_{k}") for k in chars.PREDICATES)), f"SELECT doc_id, {', '.join(f'regexp_matches(text, {_quote(p)}) AS has_{k}' for k, p in chars.PREDICATES.items())} FROM {OVERLAY_SQL} AS o")
+_add("units", lambda s, d: _overlay(s, d).select("doc_id", F.size(normalize.units(F.col("text"))).cast("long").alias("n_units")), f"SELECT doc_id, len(regexp_extract_all(text, '{normalize.UNIT}'))::BIGINT AS n_units FROM {OVERLAY_SQL} AS o")
+_add("cluster_split", lambda s, d: _overlay(s, d).select("doc_id", F.array_join(normalize.clusters(F.col("text")), "|").alias("clusters")), f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{normalize.CLUSTER}'), '|') AS clusters FROM {OVERLAY_SQL} AS o")
+_add("orphan_marks", lambda s, d: _overlay(s, d).select("doc_id", F.size(F.filter(normalize.clusters(F.col("text")), lambda c: ~c.rlike(rf"\A{chars.BASE}"))).cast("long").alias("n_orphans")), f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{normalize.CLUSTER}'), lambda c: NOT regexp_matches(c, '^{chars.BASE}')))::BIGINT AS n_orphans FROM {OVERLAY_SQL} AS o")
+_add("cluster_normalize", lambda s, d: _overlay(s, d).select("doc_id", F.array_join(F.transform(normalize.clusters(F.col("text")), normalize.normalize_cluster), "").alias("normal")))
+_add("word_key", lambda s, d: _overlay(s, d).select("doc_id", normalize.word_key(F.col("text")).alias("word_key")))
+_add("fold_key", lambda s, d: _overlay(s, d).select("doc_id", normalize.fold_key(F.col("text")).alias("fold_key")))
+_add("sentence_split", lambda s, d: sentences.sentences(_docs(s, d)).select("doc_id", "sent", "sentence", "n_words"), f"SELECT doc_id, sent, sentence, n_words FROM {_SENTENCES} AS s")
+_add("long_sentence", lambda s, d: sentences.long_sentences(_docs(s, d)), f"SELECT doc_id, sent, n_words FROM {_SENTENCES} AS s WHERE n_words > 40")
+_add("adjacent_repeat", lambda s, d: sentences.adjacent_repeats(_docs(s, d)), f"SELECT doc_id, sent, word_at, words[word_at + 1] AS word FROM (SELECT *, unnest(range(1, len(words)))::BIGINT AS word_at FROM {_SENTENCES} AS s) AS t WHERE words[word_at + 1] = words[word_at]")
+_add("sentence_repeat3", lambda s, d: sentences.third_uses(_docs(s, d)), f"SELECT doc_id, sent, word_at, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent, word ORDER BY word_at) AS n FROM (SELECT doc_id, sent, unnest(range(len(words)))::BIGINT AS word_at, unnest(words) AS word FROM {_SENTENCES} AS s WHERE n_words >= 10) AS t WHERE length(word) >= 4) AS u WHERE n = 3")
+_add(
+    "sentence_openings",
+    lambda s, d: sentences.same_openings(_docs(s, d)),
+    f"""WITH a AS (SELECT doc_id, sent, lower(words[1]) AS word FROM {_SENTENCES} AS s WHERE n_words >= 3),
+b AS (SELECT *, CASE WHEN lag(word) OVER (PARTITION BY doc_id ORDER BY sent) = word THEN 0 ELSE 1 END AS fresh FROM a),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY sent) AS island FROM b)
+SELECT doc_id, min(sent) AS first_sent, min(word) AS word, count(*) AS n FROM c GROUP BY doc_id, island HAVING count(*) >= 3""",
+)
+_add("doc_stats", lambda s, d: sentences.document_stats(_docs(s, d)), f"SELECT d.doc_id, length(text)::BIGINT AS n_characters, coalesce(w, 0)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_sentences FROM documents d LEFT JOIN (SELECT doc_id, sum(n_words) AS w, count(*) AS n FROM {_SENTENCES} AS s GROUP BY doc_id) AS x ON d.doc_id = x.doc_id")
+_add("bigram_counts", lambda s, d: terms.bigram_counts(sentences.sentences(_docs(s, d))), f"SELECT a, b, count(*) AS n FROM (SELECT words[i] AS a, words[i + 1] AS b FROM (SELECT words, unnest(range(1, len(words))) AS i FROM {_SENTENCES} AS s) AS t) AS u GROUP BY a, b HAVING count(*) >= 3")
+_add("user_term_rule", lambda s, d: terms.term_hits(_overlay(s, d), s.createDataFrame(TERM_RULES, "preferred string, variant string")), f"SELECT doc_id, preferred, variant, ((length(text) - length(replace(text, variant, ''))) // length(variant))::BIGINT AS n FROM {OVERLAY_SQL} AS o JOIN (VALUES {', '.join(f'({_quote(a)}, {_quote(b)})' for a, b in TERM_RULES)}) AS r(preferred, variant) ON contains(text, variant)")
+_add("lexicon_merge", lambda s, d: terms.merge_lexicon(s.createDataFrame(LEXICON, "key string, f int, n int, p int")), f"SELECT key, bit_or(f)::INT AS f, max(n)::INT AS n, bit_or(p)::INT AS p FROM (VALUES {', '.join(f'({_quote(k)}, {f}, {n}, {p})' for k, f, n, p in LEXICON)}) AS t(key, f, n, p) GROUP BY key")
+_add("document_hash", lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+_add("decisions_latest", lambda s, d: terms.latest_decisions(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", "ts"), ("user_id", "event_type"), "ts", "event_id").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) AS e WHERE n = 1")
+_add("fixed_window_counter", lambda s, d: terms.fixed_windows(s.read.parquet(f"{d}/events.parquet")), "SELECT user_id, (floor(epoch(ts) / 60) * 60)::BIGINT AS window_start, count(*) AS n FROM events GROUP BY ALL")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """Surface findings with their lines over all documents."""
+    return surface.located(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
