@@ -25,7 +25,7 @@ from textloom.llm.common import by_group, staged, table
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-MERGE, RELABEL, INSERT = 1.0, 2.0, 1.5
+MERGE, RELABEL, INSERT = 1.0, 4.0, 1.5
 #: Turn numbers of a chunk; more rows than CHUNK_ROWS of one chunk are dealt out by their hash, in order.
 CHUNK_TURNS, CHUNK_ROWS = 256, 4096
 INFINITE = float("inf")

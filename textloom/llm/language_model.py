@@ -146,7 +146,7 @@ def _merged(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def quantised(log10_p: np.ndarray) -> np.ndarray:
     """-log10 of probabilities, to 1/4096, up to 16."""
-    return np.minimum(np.rint(-log10_p * STEP), 65535).astype(np.uint16)
+    return np.clip(np.rint(-log10_p * STEP), 0, 65535).astype(np.uint16)
 
 
 def _unique_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +370,7 @@ def build(chunks: DataFrame, root: str, tokens: int) -> Trie:
         pairs = read_arrays(trie.file(2, shard))["counts"].astype(np.float64)
         context, rank = (keys >> np.uint64(32)).astype(np.int64) - trie.pairs[shard], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         back = np.clip(1 - np.bincount(context, counts - DISCOUNT, len(pairs)) / pairs, 1e-9, 1)
-        p = (counts - DISCOUNT) / pairs[context] + back[context] * 10 ** (-lower / STEP)
+        p = (counts - DISCOUNT) / pairs[context] + back[context] * 10 ** (lower.astype(np.float64) / -STEP)
         span = int(rank.max()) + 1 if len(rank) else 1
         arrays = EliasFano.encode(context * span + rank, len(pairs) * span, "successors")
         write_arrays(trie.file(3, shard), arrays | {"span": np.array([span]), "probs": quantised(np.log10(p)), "back": quantised(np.log10(back))})
