@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import chars, normalize, spans
-from textloom.operators import sentences, surface, terms
+from textloom.functions import chars, meaning, normalize, spans, tokens
+from textloom.operators import findings, sentences, surface, terms
 
 LINES = (
     "ខ្ញុំទៅផ្សារ។។ គាត់មក!!",
@@ -19,11 +19,17 @@ LINES = (
     "‪អក្សរ‬ � ៘ បញ្ចប់??",
     "កាំ​កំុ ស្រ្តី កេី កេា ឣាយុ",
     "«មួយ» «ពីរ ១២ 3 4",
+    "គេមក។ គេទៅ ។ គេមិនមក។  ៗ េក ្រត",
 )
 TERM_RULES = (("the", "the"), ("and", "und"), ("of", "des"), ("khmer", "ខ្ញុំ"), ("mark", "!!"))
 #: (key, flags, frequency, parts of speech)
 LEXICON = (("ក", 1, 5, 1), ("ក", 4, 9, 2), ("ខ", 128, 0, 32), ("ខ", 1, 2, 32), ("គ", 64, 1, 0))
 
+#: (key, authoritative, misspelling, frequency)
+WORDS = tuple((w, True, False, n) for n, w in enumerate("ខ្ញុំ ទៅ ផ្សារ គាត់ មក គេ និយាយ ហើយ ពាក្យ ឆ្នាំ និង អក្សរ បញ្ចប់ មួយ ពីរ មិន".split()))
+#: The rules of the surface, and one on the same spans as another.
+TWICE = surface.RULES | {"terminology.mark": "[!?]{2,}"}
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -116,6 +122,54 @@ _add("document_hash", lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 2
 _add("decisions_latest", lambda s, d: terms.latest_decisions(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", "ts"), ("user_id", "event_type"), "ts", "event_id").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) AS e WHERE n = 1")
 _add("fixed_window_counter", lambda s, d: terms.fixed_windows(s.read.parquet(f"{d}/events.parquet")), "SELECT user_id, (floor(epoch(ts) / 60) * 60)::BIGINT AS window_start, count(*) AS n FROM events GROUP BY ALL")
 
+_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(chunk, {_quote(rf'\A(?:{p})\z')}) THEN '{k}'" for k, p in tokens.KINDS.items()) + " END"
+_add(
+    "token_chunks",
+    lambda s, d: tokens.chunks(_overlay(s, d)),
+    f"SELECT doc_id, chunk_at, {_KIND_SQL} AS kind, (sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY chunk_at) - length(chunk))::BIGINT AS start, chunk FROM (SELECT doc_id, unnest(range(len(m)))::BIGINT AS chunk_at, unnest(m) AS chunk FROM (SELECT doc_id, regexp_extract_all(text, {_quote(tokens.CHUNK)}) AS m FROM {OVERLAY_SQL} AS o) AS p) AS q",
+)
+_add("word_segments", lambda s, d: tokens.segments(_overlay(s, d), s.createDataFrame(WORDS, "key string, authoritative boolean, misspelling boolean, n int")))
+_add("meaning_signature", lambda s, d: _overlay(s, d).select("doc_id", meaning.meaning_signature(F.col("text")).alias("signature")))
+_add("visual_order_repair", lambda s, d: _overlay(s, d).select("doc_id", meaning.repair_visual_order(F.col("text")).alias("text")), f"SELECT doc_id, regexp_replace(regexp_replace(text, {_quote(meaning.PREBASE)}, '\\1\\3\\2', 'g'), {_quote(meaning.RO_FIRST)}, '\\1\\3\\2\\4', 'g') AS text FROM {OVERLAY_SQL} AS o")
+_add("visual_order_score", lambda s, d: _overlay(s, d).select("doc_id", F.round(meaning.visual_order_score(F.col("text")), 6).alias("score")), f"SELECT doc_id, round((len(regexp_extract_all(text, {_quote(meaning.PREBASE)})) + len(regexp_extract_all(text, {_quote(meaning.RO_FIRST)}))) / greatest(1.0, len(regexp_extract_all(text, '[\\x{{1780}}-\\x{{17FF}}]')) / 10), 6)::DOUBLE AS score FROM {OVERLAY_SQL} AS o")
+
+_FOUND = f"(SELECT *, {_SUGGEST} AS suggestion FROM ({spans.findings_sql(DOCS_SQL, surface.RULES)}) AS ff)"
+_LEVEL = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{v[0]}'" for r, v in surface.LEVELS.items()) + " ELSE 'suggestion' END"
+_CONF = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {v[1]}" for r, v in surface.LEVELS.items()) + " ELSE 0.5 END"
+_CELLS = [f"'\"' || regexp_replace(replace(coalesce(({c})::VARCHAR, ''), '\"', '\"\"'), '\\r?\\n', ' ', 'g') || '\"'" for c in ("doc_id", "start", "stop", "original", "split_part(rule_id, '.', 1)", _LEVEL, "suggestion", "rule_id")]
+_add(
+    "one_finding_per_span",
+    lambda s, d: findings.one_per_span(surface.surface_findings(_docs(s, d), TWICE)),
+    f"""WITH f AS (SELECT *, coalesce(nullif(coalesce(list_position(['unicode', 'punct', 'terminology', 'legal'], split_part(rule_id, '.', 1)), 0), 0), 99) AS layer, {_CONF} AS conf FROM ({spans.findings_sql(DOCS_SQL, TWICE)}) AS x),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, stop ORDER BY layer, conf DESC, rule_id) AS n FROM f)
+SELECT doc_id, start, stop, max(rule_id) FILTER (n = 1) AS rule_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (n > 1), '') AS also_flagged_by FROM r GROUP BY doc_id, start, stop""",
+)
+_add(
+    "numbered_findings",
+    lambda s, d: findings.numbered(_docs(s, d), surface.RULES),
+    f"""SELECT doc_id, 'F' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS finding_id, rule_id, start, stop, substr(text, greatest(start - 40, 0) + 1, stop + 40 - greatest(start - 40, 0)) AS context, (start - greatest(start - 40, 0))::BIGINT AS context_offset
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rule_id) AS n FROM {_FOUND} AS f) AS g""",
+)
+_FIXES = {r: surface.RULES[r] for r in ("punct.repeated-mark", "punct.space-before-comma")}
+_add("corrected_text", lambda s, d: findings.corrected(_docs(s, d), surface.surface_findings(_docs(s, d), _FIXES)), r"SELECT doc_id, regexp_replace(regexp_replace(text, '[!?]+([!?])', '\1', 'g'), '[ \t]+,', ',', 'g') AS text FROM documents")
+_add("findings_by_document", lambda s, d: findings.by_document(_docs(s, d), surface.surface_findings(_docs(s, d))), "SELECT d.doc_id, " + ", ".join(f"count(*) FILTER (level = '{x}') AS n_{x}" for x in ("error", "warning", "suggestion")) + f" FROM documents d LEFT JOIN (SELECT doc_id, {_LEVEL} AS level FROM {_FOUND} AS f) AS g ON d.doc_id = g.doc_id GROUP BY d.doc_id")
+_add("findings_by_category", lambda s, d: findings.by_category(surface.surface_findings(_docs(s, d))), f"SELECT category, severity, count(*) AS n FROM (SELECT split_part(rule_id, '.', 1) AS category, {_LEVEL} AS severity FROM {_FOUND} AS f) AS g GROUP BY ROLLUP (category, severity)")
+_add("csv_report", lambda s, d: findings.csv_rows(surface.surface_findings(_docs(s, d))), f"SELECT doc_id, start, rule_id, {' || chr(44) || '.join(_CELLS)} AS csv_row FROM {_FOUND} AS f")
+_add("html_report", lambda s, d: findings.html_lists(surface.surface_findings(_docs(s, d))), f"SELECT doc_id, '<ul>' || string_agg('<li>' || rule_id || ' <mark>' || replace(replace(replace(replace(original, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</mark></li>', '' ORDER BY start, rule_id) || '</ul>' AS html FROM {_FOUND} AS f GROUP BY doc_id")
+_add("nth_occurrence", lambda s, d: findings.nth_occurrence(_docs(s, d), "the", 2), "SELECT doc_id, length(array_to_string(g[1:2], 'the'))::BIGINT AS start, (length(array_to_string(g[1:2], 'the')) + 3)::BIGINT AS stop FROM (SELECT doc_id, string_split(text, 'the') AS g FROM documents) AS p WHERE len(g) > 2")
+_add(
+    "span_agreement",
+    lambda s, d: findings.agreement(surface.surface_findings(_docs(s, d), _FIXES), surface.surface_findings(_docs(s, d), {"mark": "[!?]+"})),
+    f"""WITH a AS ({spans.findings_sql(DOCS_SQL, _FIXES)}), f AS ({spans.findings_sql(DOCS_SQL, {'mark': '[!?]+'})})
+SELECT (SELECT count(*) FROM a) AS n_expected, (SELECT count(*) FROM a WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = a.doc_id AND f.start < a.stop AND f.stop > a.start)) AS n_hit,
+(SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE f.doc_id = a.doc_id AND f.start < a.stop AND f.stop > a.start)) AS n_false""",
+)
+_BLANKS = "(' ', chr(9), chr(10), chr(13), chr(11), chr(12), '')"
+_add("multiple_spaces", lambda s, d: findings.wide_gaps(_overlay(s, d)), f"SELECT doc_id, start, stop FROM ({spans.findings_sql(OVERLAY_SQL, {'gap': ' {2,}'})}) AS f WHERE start > 0 AND substr(text, start, 1) NOT IN {_BLANKS} AND substr(text, stop + 1, 1) NOT IN {_BLANKS}")
+_SPACED = {"spaced": r"[\x{1780}-\x{17DD}] \x{17D4}", "tight": r"[\x{1780}-\x{17DD}]\x{17D4}"}
+_add("spaced_khan", lambda s, d: findings.spaced_khan(_overlay(s, d)), f"SELECT doc_id, start + 1 AS start, stop FROM (SELECT *, count(*) FILTER (rule_id = 'spaced') OVER (PARTITION BY doc_id) AS a, count(*) FILTER (rule_id = 'tight') OVER (PARTITION BY doc_id) AS b FROM ({spans.findings_sql(OVERLAY_SQL, _SPACED)}) AS f) AS g WHERE rule_id = 'spaced' AND a < b")
+_add("legacy_font", lambda s, d: findings.legacy_font(_docs(s, d)), r"SELECT doc_id FROM documents WHERE length(text) > 40 AND regexp_matches(text, '[A-Za-z\[\];''\\]{25,}') AND NOT regexp_matches(text, '[\x{1780}-\x{17FF}\x{19E0}-\x{19FF}]')")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface findings with their lines over all documents."""
