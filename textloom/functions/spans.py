@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Running sums go by blocks of so many matches, so that the work grows with the matches and not their square.
+BLOCK = 64
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression."""
@@ -15,11 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start,stop,original>> of all leftmost non-overlapping matches; offsets in code points from 0."""
-    add = lambda a, x: a + x
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    block = lambda i: F.floor(i / BLOCK).cast("int")
 
     def place(m: Column, g: Column) -> Column:
         widths = F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x))
-        return let(widths, lambda w: F.transform(m, lambda x, i: _one(F.aggregate(F.slice(w, 1, i + 1), F.lit(0), add), x)))
+        return let(widths, lambda w: let(block_sums(w), lambda b: let(F.transform(b, lambda x, k: total(F.slice(b, 1, k))), lambda before: each(m, w, before))))
+
+    def block_sums(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), block(F.size(w) - 1)), lambda k: total(F.slice(w, k * BLOCK + 1, BLOCK)))
+
+    def each(m: Column, w: Column, before: Column) -> Column:
+        return F.transform(m, lambda x, i: _one(F.get(before, block(i)) + total(F.slice(w, block(i) * BLOCK + 1, i % BLOCK + 1)), x))
 
     def _one(stop: Column, x: Column) -> Column:
         return F.struct((stop - F.length(x)).cast("long").alias("start"), stop.cast("long").alias("stop"), x.alias("original"))
