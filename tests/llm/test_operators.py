@@ -104,9 +104,36 @@ def test_near_duplicates_keep_every_row(spark, texts):
     pairs = [(a, b) for a in fps for b in fps if (fps[a] ^ fps[b]).bit_count() <= 2]
     expected = _components(pairs)
     assert {k: v[1] for k, v in found.items()} == expected
+
+
+def _jaccard(a, b):
+    def parts(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    a, b = parts(a), parts(b)
+    return len(a & b) / len(a | b) if a | b else 1
+
+
+def test_similar_texts_are_dropped_as_brute_force_says(spark, texts):
+    rng = random.Random(9)
+    for t in texts[7:30]:  # edited copies, of similarities on both sides of 0.8
+        w = t.split()
+        for _ in range(3):
+            edited = list(w)
+            for at in rng.sample(range(len(w)), max(1, len(w) * rng.randint(5, 30) // 1000)):
+                edited[at] = rng.choice(["", "new", edited[at] + "s"])
+            texts = texts + [" ".join(edited)]
+    shared = prose(rng, 80)
+    texts = texts + [f"{prose(rng, 90)} {shared} {prose(rng, 60)}" for _ in range(40)] + ["the " * 501]
+    docs = frame(spark, texts).repartition(5)
+    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in enumerate(texts)}
+    pairs = [(a, b) for a in fps for b in fps if a <= b and ((fps[a] ^ fps[b]).bit_count() <= 2 or _jaccard(texts[a], texts[b]) >= 0.8)]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 2 for a, b in pairs) > 20
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_components(pairs).values()))
+    assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):

@@ -8,6 +8,10 @@ at distance 2 or less, else six (the one at distance 3 and the five at distance
 words at distance 2 or less share such an index, so a pair of near fingerprints always shares a key
 made of an exact segment and a codeword index of the next one. Keys are joined and pairs verified.
 
+The pipeline's stage removes near copies with a similarity of 0.8 or more of their five-word shingles. Their
+fingerprints differ in more bits than Golay keys bridge, so it adds keys from fingerprints of pieces of the texts
+and verifies the pairs (similar_groups).
+
 Defined cases: null text is empty; an empty text has fingerprint zero and links like any other;
 repeated rows all stay, each with its component; a null id is kept and never becomes a component id
 unless its component has no other. Only id and text columns are read, so other columns can't clash.
@@ -20,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import staged, table
@@ -31,6 +35,13 @@ MAX_BITS = 2
 GENERATOR = 0b101011100011
 HOT_BUCKET = 2000
 SPLIT_DEPTH = 4
+#: Texts are near copies if their sets of five-word shingles have this Jaccard similarity or more.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Mean words of a piece, and the share of its pieces that a near copy has in common with a text.
+PIECE_WORDS = 10
+LEAST_COMMON = 0.35
+WINDOW_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -198,14 +209,144 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fps.join(of, "fp").select("key", "fp", "component_id")
 
 
+def _mixed(text: bytes) -> np.ndarray:
+    """One 64-bit hash a word."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w) for w in text.lower().split()], np.uint64)
+
+
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of width words; of the whole sequence where it is shorter."""
+    n, out = max(len(h) - width + 1, 1), None
+    for k in range(min(width, len(h))):
+        part = h[k : k + n]
+        out = part if out is None else (out ^ (out >> np.uint64(29))) * WINDOW_FACTOR + part
+    return h if out is None else out
+
+
+def shingle_set(h: np.ndarray, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct word shingles of a text with word hashes h, as sorted 64-bit hashes."""
+    return np.unique(_windows(h, shingle))
+
+
+def piece_fingerprints(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of the pieces of a text with word hashes h, distinct.
+
+    A piece ends where the hash of a pair of words says so (every PIECE_WORDS words in the mean), so an edit changes
+    the pieces it touches and no others.
+    """
+    import xxhash
+
+    if not len(h):
+        return h
+    cut = np.nonzero((_windows(h, 2) >> np.uint64(20)) % np.uint64(PIECE_WORDS) == 0)[0] + 1 if len(h) > 1 else []
+    raw, ends = h.tobytes(), [0, *(int(c) for c in cut), len(h)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(raw[8 * x : 8 * y], 42) for x, y in zip(ends, ends[1:]) if x < y], np.uint64))
+
+
+def _described(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(row, node, fp, size, pieces) of each row of (row, text); node identifies the sequence of words."""
+    import xxhash
+
+    kind = docs.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in batch.column(1).cast(pa.binary()):
+                t = t.as_py() or b""
+                h = _mixed(t)
+                same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)
+                found.append((same, fingerprint(t, shingle), len(shingle_set(h)), piece_fingerprints(h).view(np.int64)))
+            node, fp, size, pieces = zip(*found) if found else ((), (), (), ())
+            longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "pieces"])
+
+    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size long, pieces array<long>")
+
+
+def _alike(a: str, b: str):
+    """Could two sets of these sizes have a similarity of SIMILARITY?"""
+    return (F.col(a) >= SIMILARITY * F.col(b)) & (F.col(b) >= SIMILARITY * F.col(a))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    pairs = staged(pairs, "similar-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    asked = asked.select("node", F.col("rep.k").alias("rep_k"), F.col("rep.h").alias("rep_h"))
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(_mixed(t.as_py() or b"")).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "parts"])
+
+    of = texts.join(asked, F.col("row.k").eqNullSafe(F.col("rep_k")) & (F.col("row.h") == F.col("rep_h")))
+    sets = staged(of.select("node", "text").mapInArrow(run, "node long, parts array<long>").dropDuplicates(["node"]), "similar-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("pa", "pb")))
+    return both.filter(F.col("common") >= SIMILARITY * (F.size("pa") + F.size("pb") - F.col("common"))).select("a", "b")
+
+
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with comp: the smallest node reachable."""
+    roots = components(edges)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(row, component) for each row of docs (row: struct n, k, h; text): component is the smallest row reachable.
+
+    Links: fingerprints that differ in MAX_BITS bits or fewer (Golay keys), and texts whose sets of five-word
+    shingles have a similarity of 0.8 or more, which differ in up to 14 of 64 bits and are found by their pieces:
+    of the pieces of a text, rarest first, all but a share of LEAST_COMMON are keys, so two texts with that share
+    of pieces in common have a key in common. Each text of a key is first held against the key's smallest one;
+    then all pairs of a key that are not yet in one component. Equal texts are one node (64-bit hash of the words).
+    """
+    base = staged(_described(docs, "text", shingle), "similar")
+    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "pieces")))
+    nodes = staged(nodes, "similar-nodes")
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("of"))
+    ends = near_pairs(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("of").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("of").alias("v")), "b")
+    edges = nodes.join(fps, "fp").filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
+    edges = edges.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+    posted = nodes.select("node", "size", F.explode("pieces").alias("piece"))
+    posted = posted.join(posted.groupBy("piece").agg(F.count("*").alias("df")), "piece")
+    own = Window.partitionBy("node")
+    posted = posted.withColumn("at", F.row_number().over(own.orderBy("df", "piece"))).withColumn("m", F.count("*").over(own))
+    keyed = posted.filter(F.col("at") <= F.col("m") - F.ceil(LEAST_COMMON * F.col("m")) + 1).filter("df > 1").select("piece", "node", "size")
+    keyed = staged(keyed, "similar-keys")
+
+    least = keyed.groupBy("piece").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    stars = keyed.join(least.select("piece", F.col("m.node").alias("a"), F.col("m.size").alias("of_size")), "piece")
+    stars = stars.filter((F.col("node") > F.col("a")) & _alike("size", "of_size")).select("a", F.col("node").alias("b")).distinct()
+    edges = staged(edges.unionByName(_verified(stars, nodes, docs)), "similar-edges")
+
+    keyed = _rooted(keyed, edges)
+    open_ = keyed.groupBy("piece").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("piece")
+    keyed = staged(keyed.join(open_, "piece", "left_semi"), "similar-open")
+    a, b = (keyed.select("piece", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp"))) for s in "ab")
+    rest = a.join(b.hint("merge"), "piece").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _alike("size_a", "size_b"))
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    edges = edges.unionByName(_verified(rest, nodes, docs))
+
+    found = _rooted(nodes.select("node", "rep"), edges)
+    least = found.groupBy("comp").agg(F.min("rep").alias("component"))
+    return base.select("row", "node").join(found.select("node", "comp"), "node").join(least, "comp").select("row", "component")
+
+
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """One row of each component: the first by key, then by a hash of the row. All columns stay.
+    """One row of each group of similar_groups: the first by key, then by a hash of the row. All columns stay.
 
-    A row with a null key stays only if its component has no key.
+    A row with a null key stays only if its group has no key.
     """
     order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    found = near_duplicates(docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), order.alias("h")).alias("row"), F.col(text).alias("text")), "text", "row", shingle)
-    stay = found.select(F.col("component_id").alias("row")).distinct()
+    found = similar_groups(docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), order.alias("h")).alias("row"), F.col(text).alias("text")), shingle)
+    stay = found.select(F.col("component").alias("row")).distinct()
     once = stay.select(F.col("row.k").alias("stay_k"), F.col("row.h").alias("stay_h"))
     same = F.col(key).eqNullSafe(F.col("stay_k")) & (order == F.col("stay_h"))
     kept = docs.join(once, same, "left_semi")
