@@ -390,6 +390,39 @@ def test_scores_match_a_direct_model(spark):
     assert language_model.score_texts(docs.withColumn("train", F.lit(False))).count() == len(texts)
 
 
+def test_query_keeps_pairs_and_triples_seen_once(spark, tmp_path):
+    rng = random.Random(13)
+    pool = [f"t{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(60)] + [None, "Never Seen t1"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in enumerate(texts)}
+    train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for w in train:
+        c1.update(w)
+        c2.update(zip([b"", *w], w))
+        c3.update(zip([b"", *w], w, w[1:]))
+    assert sum(k == 1 for k in c2.values()) > 300 and sum(k == 1 for k in c3.values()) > 300
+    n, d = sum(c1.values()), language_model.DISCOUNT
+    followers, thirds = collections.Counter(a for a, _ in c2), collections.Counter((a, b) for a, b, _ in c3)
+    ended = collections.Counter({k: c2[k] - sum(v for t, v in c3.items() if t[:2] == k) for k in c2})
+
+    def p2(a, b):
+        lower = (c1[b] + 0.5) / (n + 0.5 * (len(c1) + 1))
+        return (max(c2[a, b] - d, 0) + d * followers[a] * lower) / c1[a] if c1[a] else lower
+
+    def p3(a, b, c):
+        of = c2[a, b]
+        return (max(c3[a, b, c] - d, 0) + (d * thirds[a, b] + ended[a, b]) * p2(b, c)) / of if of else p2(b, c)
+
+    found = {r["doc_id"]: r for r in language_model.op2_elias_fano_lm(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts) and any(r["held_out"] for r in found.values())
+    for i, w in tokens.items():
+        full = [b"", *w]
+        score = math.log10(p2(b"", w[0])) + sum(math.log10(p3(full[k - 1], full[k], w[k])) for k in range(1, len(w)))
+        assert abs(found[i]["score"] - score) < 2e-3 * len(w) + 1e-3
+
+
 # --- urls
 
 

@@ -9,9 +9,10 @@ files of the shared folder, memory-mapped by the executors:
 3. triples: the context is the position of its pair in level 2, and the last word is written relative
    to its context: as its rank among the successors of the middle word, a far smaller number.
 
-Probabilities are interpolated with absolute discounting down to add-half word probabilities; pairs
-and triples seen once are left out and their mass goes to the back-off weight. (A triple can be seen
-twice only if both its pairs are, so level 3 counts only such triples; this loses none.)
+Probabilities are interpolated with absolute discounting down to add-half word probabilities. Levels 2
+and 3 hold the pairs and triples seen ``least`` times or more, the mass of others goes to the back-off
+weight; the query keeps all of them (least 1). (A triple can be seen ``least`` times only if both its
+pairs are, so level 3 counts only such triples; this loses none.)
 
 The corpus is read once, into a table of word numbers in the shared folder. Counts of all levels cover
 all training texts and go by shards of bounded size (SHARD_TOKENS tokens); the driver gets four
@@ -276,7 +277,7 @@ def end_id(trie: Trie) -> int:
     return int(trie.word_ids(np.array([xxhash.xxh64_intdigest(b"")], np.uint64))[0][0])
 
 
-def build(chunks: DataFrame, root: str, tokens: int) -> Trie:
+def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
     """Count all levels over the training texts of a tokens_table and write their files."""
     trie = Trie(root, max(1, -(-tokens // SHARD_TOKENS)))
     shards = trie.shards
@@ -313,7 +314,7 @@ def build(chunks: DataFrame, root: str, tokens: int) -> Trie:
         for chunk in _chunks(batches):
             ids, lengths, counts = _training(chunk, trie)
             previous, at = trie.context(ids, lengths, end)
-            often = counts >= 2  # others are in no pair seen twice
+            often = counts >= least  # others are in no pair seen that often
             both = often & np.where(at == 0, True, np.concatenate(([True], often[:-1])) if len(often) else often)
             keys, n = _unique_counts((previous[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64))
             if found.add(keys, n, np.zeros(len(keys), np.uint16)):
@@ -324,7 +325,7 @@ def build(chunks: DataFrame, root: str, tokens: int) -> Trie:
     def write_pairs(group):
         shard = group[0][0]
         keys, counts, _ = _merged(group)
-        keys, counts = keys[counts >= 2], counts[counts >= 2]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         words = read_arrays(trie.file(1, shard))["counts"].astype(np.float64)
         first, second = (keys >> np.uint64(32)).astype(np.int64) - trie.words[shard], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         mass = np.bincount(first, counts - DISCOUNT, len(words)) / words
@@ -365,7 +366,7 @@ def build(chunks: DataFrame, root: str, tokens: int) -> Trie:
     def write_triples(group):
         shard = group[0][0]
         keys, counts, lower = _merged(group)
-        often = counts >= 2
+        often = counts >= least
         keys, counts, lower = keys[often], counts[often], lower[often]
         pairs = read_arrays(trie.file(2, shard))["counts"].astype(np.float64)
         context, rank = (keys >> np.uint64(32)).astype(np.int64) - trie.pairs[shard], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -433,22 +434,22 @@ def score_chunks(chunks: DataFrame, trie: Trie, kind: str) -> DataFrame:
     return chunks.mapInArrow(run, f"key {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train") -> DataFrame:
-    """Learn from the rows marked in ``train`` and score all rows."""
+def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train", least: int = 2) -> DataFrame:
+    """Learn from the rows marked in ``train`` and score all rows; pairs and triples seen under ``least`` times are left out."""
     spark = docs.sparkSession
     root, kind = fresh_dir(spark, "trie"), docs.schema[key].dataType.simpleString()
     found = tokens_table(docs, text, key, train)
     found.write.option("compression", "zstd").parquet(f"{root}/tokens")
     chunks = spark.read.schema(found.schema).parquet(f"{root}/tokens")
     tokens = chunks.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
-    trie = build(chunks, root, int(tokens))
+    trie = build(chunks, root, int(tokens), least)
     return score_chunks(chunks, trie, kind)
 
 
 def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("train"))
-    found = score_texts(docs)
+    found = score_texts(docs, least=1)
     return found.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
