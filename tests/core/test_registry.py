@@ -47,3 +47,42 @@ def test_all_queries_run(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0
     assert registry.flagship(spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """Documents of which only the text after the 40th character has anything to find."""
+    folder = tmp_path_factory.mktemp("late")
+    rows = [(i, "x" * 50 + " a  b the 7 ខ្ញុំ កេី!! ៗ«") for i in range(14)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return rows, str(folder)
+
+
+def test_whole_texts_are_read(spark, late):
+    rows, folder = late
+    overlaid = [name for name, sql in registry.oracle_sql().items() if registry.OVERLAY_SQL in sql]
+    assert len(overlaid) == 23 and all(registry.OVERLAY_SQL not in registry.oracle_sql()[f"{name}_whole"] for name in overlaid)
+    queries = registry.queries()
+    assert {(r["doc_id"], r["start"]) for r in queries["multiple_spaces_whole"](spark, folder).collect()} >= {(i, len(registry.LINES[i % 7]) + 1 + 52) for i, _ in rows}
+    assert {(r["doc_id"], r["variant"]) for r in queries["user_term_rule_whole"](spark, folder).collect()} >= {(i, "the") for i, _ in rows}
+    assert {r["doc_id"] for r in queries["span_repeated_mark_whole"](spark, folder).collect()} == {i for i, _ in rows}
+    chunks = _texts(queries["token_chunks_whole"](spark, folder).collect())
+    assert chunks == {i: registry.LINES[i % 7] + "\n" + t for i, t in rows}
+
+
+def _texts(rows):
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["chunk_at"])):
+        found[r["doc_id"]] = found.get(r["doc_id"], "") + r["chunk"]
+    return found
+
+
+def test_queries_without_sql_read_whole_texts(spark, late):
+    rows, folder = late
+    queries = registry.queries()
+    for name in ("word_key", "fold_key"):
+        assert all(r[name].endswith(" a  b the 7 ខ្ញុំ កើ!! ៗ«") for r in queries[name](spark, folder).collect())
+    assert all(r["normal"].endswith("ខ្ញុំកើ") for r in queries["cluster_normalize"](spark, folder).collect())
+    starts = {(r["doc_id"], r["start"], r["word"]) for r in queries["word_segments"](spark, folder).collect()}
+    assert starts >= {(i, len(registry.LINES[i % 7]) + 1 + 62, "ខ្ញុំ") for i, _ in rows}
+    assert queries["meaning_signature"](spark, folder).count() == len(rows)

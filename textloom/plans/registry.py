@@ -1,7 +1,8 @@
 """All queries of the text-checking engine, by name, with their reference SQL.
 
 Documents of the test tables hold no Khmer, so Khmer rules run on an overlay: one of a few Khmer lines
-by doc_id, a line feed, and the start of the document.
+by doc_id, a line feed, and the document. Queries that have SQL over the first 40 characters of the document
+(OVERLAY_SQL) keep to it; each has a query of the same name with ``_whole`` over the whole document.
 """
 
 from __future__ import annotations
@@ -35,9 +36,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lined(docs: DataFrame, text) -> DataFrame:
     line = F.element_at(F.array(*(F.lit(x) for x in LINES)), (F.col("doc_id") % len(LINES) + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", F.concat(line, F.lit("\n"), F.substring("text", 1, 40)).alias("text"))
+    return docs.select("doc_id", F.concat(line, F.lit("\n"), text).alias("text"))
+
+
+def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lined(_docs(spark, sf_dir), F.substring("text", 1, 40))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lined(_docs(spark, sf_dir), F.col("text"))
 
 
 def _quote(x: str) -> str:
@@ -46,6 +55,7 @@ def _quote(x: str) -> str:
 
 DOCS_SQL = "(SELECT doc_id, text FROM documents)"
 OVERLAY_SQL = f"(SELECT doc_id, list_extract([{', '.join(map(_quote, LINES))}], (doc_id % {len(LINES)} + 1)::INT) || chr(10) || substr(text, 1, 40) AS text FROM documents)"
+WHOLE_SQL = OVERLAY_SQL.replace("substr(text, 1, 40)", "text")
 _SUGGEST = "CASE WHEN rule_id = 'punct.repeated-khan' THEN '។' WHEN rule_id = 'punct.repeated-mark' THEN substr(original, length(original), 1) WHEN rule_id IN ('punct.space-before-lek-too', 'punct.double-lek-too') THEN 'ៗ' WHEN rule_id = 'punct.space-before-comma' THEN ',' WHEN rule_id = 'unicode.deprecated' THEN '។ល។' WHEN rule_id = 'unicode.zwsp-repeat' THEN chr(8203) WHEN rule_id = 'unicode.bidi-control' THEN '' END"
 _SENTENCES = rf"""(
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS sent, sentence, len(words)::BIGINT AS n_words, words FROM (
@@ -61,11 +71,14 @@ def _add(name: str, query, sql: str | None = None) -> None:
     _QUERIES[name] = query
     if sql:
         _SQL[name] = sql
+    if sql and OVERLAY_SQL in sql:
+        _QUERIES[f"{name}_whole"] = lambda spark, sf_dir: query(spark, sf_dir, _whole)
+        _SQL[f"{name}_whole"] = sql.replace(OVERLAY_SQL, WHOLE_SQL)
 
 
 def _one_rule(rule: str):
     rules = {rule: surface.RULES[rule]}
-    return lambda spark, sf_dir: surface.surface_findings(_overlay(spark, sf_dir), rules)
+    return lambda spark, sf_dir, of=_overlay: surface.surface_findings(of(spark, sf_dir), rules)
 
 
 for _rule in surface.RULES:
@@ -79,7 +92,7 @@ _add(
 )
 _add(
     "quotes_unbalanced",
-    lambda s, d: surface.unbalanced_quotes(_overlay(s, d)),
+    lambda s, d, of=_overlay: surface.unbalanced_quotes(of(s, d)),
     f"""WITH q AS (SELECT doc_id, start, original, CASE original WHEN '«' THEN 1 ELSE -1 END AS step FROM ({spans.findings_sql(OVERLAY_SQL, {'quote': '[«»]'})}) AS f),
 s AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY start) AS up, sum(-step) OVER (PARTITION BY doc_id ORDER BY start DESC) AS back FROM q),
 m AS (SELECT *, coalesce(min(up) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
@@ -88,20 +101,20 @@ SELECT doc_id, start, original FROM m WHERE (step = -1 AND up < least(low, 0)) O
 )
 _add(
     "digits_mixed",
-    lambda s, d: surface.mixed_digits(_overlay(s, d)),
+    lambda s, d, of=_overlay: surface.mixed_digits(of(s, d)),
     f"""WITH f AS ({spans.findings_sql(OVERLAY_SQL, {'khmer': r'[\x{17E0}-\x{17E9}]+', 'arabic': '[0-9]+'})}),
 c AS (SELECT *, count(*) FILTER (rule_id = 'khmer') OVER (PARTITION BY doc_id) AS k, count(*) FILTER (rule_id = 'arabic') OVER (PARTITION BY doc_id) AS a FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM c WHERE k > 0 AND a > 0 AND rule_id = CASE WHEN a <= k THEN 'arabic' ELSE 'khmer' END)
 SELECT doc_id, start, original, rule_id AS system FROM r WHERE n <= 20""",
 )
-_add("digit_system", lambda s, d: _overlay(s, d).select("doc_id", chars.to_khmer_digits(F.col("text")).alias("khmer"), chars.to_arabic_digits(F.col("text")).alias("arabic")), f"SELECT doc_id, translate(text, '{chars.ARABIC_DIGITS}', '{chars.KHMER_DIGITS}') AS khmer, translate(text, '{chars.KHMER_DIGITS}', '{chars.ARABIC_DIGITS}') AS arabic FROM {OVERLAY_SQL} AS o")
-_add("char_predicates", lambda s, d: _overlay(s, d).select("doc_id", *(chars.has(F.col("text"), k).alias(f"has_{k}") for k in chars.PREDICATES)), f"SELECT doc_id, {', '.join(f'regexp_matches(text, {_quote(p)}) AS has_{k}' for k, p in chars.PREDICATES.items())} FROM {OVERLAY_SQL} AS o")
-_add("units", lambda s, d: _overlay(s, d).select("doc_id", F.size(normalize.units(F.col("text"))).cast("long").alias("n_units")), f"SELECT doc_id, len(regexp_extract_all(text, '{normalize.UNIT}'))::BIGINT AS n_units FROM {OVERLAY_SQL} AS o")
-_add("cluster_split", lambda s, d: _overlay(s, d).select("doc_id", F.array_join(normalize.clusters(F.col("text")), "|").alias("clusters")), f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{normalize.CLUSTER}'), '|') AS clusters FROM {OVERLAY_SQL} AS o")
-_add("orphan_marks", lambda s, d: _overlay(s, d).select("doc_id", F.size(F.filter(normalize.clusters(F.col("text")), lambda c: ~c.rlike(rf"\A{chars.BASE}"))).cast("long").alias("n_orphans")), f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{normalize.CLUSTER}'), lambda c: NOT regexp_matches(c, '^{chars.BASE}')))::BIGINT AS n_orphans FROM {OVERLAY_SQL} AS o")
-_add("cluster_normalize", lambda s, d: _overlay(s, d).select("doc_id", F.array_join(F.transform(normalize.clusters(F.col("text")), normalize.normalize_cluster), "").alias("normal")))
-_add("word_key", lambda s, d: _overlay(s, d).select("doc_id", normalize.word_key(F.col("text")).alias("word_key")))
-_add("fold_key", lambda s, d: _overlay(s, d).select("doc_id", normalize.fold_key(F.col("text")).alias("fold_key")))
+_add("digit_system", lambda s, d, of=_overlay: of(s, d).select("doc_id", chars.to_khmer_digits(F.col("text")).alias("khmer"), chars.to_arabic_digits(F.col("text")).alias("arabic")), f"SELECT doc_id, translate(text, '{chars.ARABIC_DIGITS}', '{chars.KHMER_DIGITS}') AS khmer, translate(text, '{chars.KHMER_DIGITS}', '{chars.ARABIC_DIGITS}') AS arabic FROM {OVERLAY_SQL} AS o")
+_add("char_predicates", lambda s, d, of=_overlay: of(s, d).select("doc_id", *(chars.has(F.col("text"), k).alias(f"has_{k}") for k in chars.PREDICATES)), f"SELECT doc_id, {', '.join(f'regexp_matches(text, {_quote(p)}) AS has_{k}' for k, p in chars.PREDICATES.items())} FROM {OVERLAY_SQL} AS o")
+_add("units", lambda s, d, of=_overlay: of(s, d).select("doc_id", F.size(normalize.units(F.col("text"))).cast("long").alias("n_units")), f"SELECT doc_id, len(regexp_extract_all(text, '{normalize.UNIT}'))::BIGINT AS n_units FROM {OVERLAY_SQL} AS o")
+_add("cluster_split", lambda s, d, of=_overlay: of(s, d).select("doc_id", F.array_join(normalize.clusters(F.col("text")), "|").alias("clusters")), f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{normalize.CLUSTER}'), '|') AS clusters FROM {OVERLAY_SQL} AS o")
+_add("orphan_marks", lambda s, d, of=_overlay: of(s, d).select("doc_id", F.size(F.filter(normalize.clusters(F.col("text")), lambda c: ~c.rlike(rf"\A{chars.BASE}"))).cast("long").alias("n_orphans")), f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{normalize.CLUSTER}'), lambda c: NOT regexp_matches(c, '^{chars.BASE}')))::BIGINT AS n_orphans FROM {OVERLAY_SQL} AS o")
+_add("cluster_normalize", lambda s, d, of=_whole: of(s, d).select("doc_id", F.array_join(F.transform(normalize.clusters(F.col("text")), normalize.normalize_cluster), "").alias("normal")))
+_add("word_key", lambda s, d, of=_whole: of(s, d).select("doc_id", normalize.word_key(F.col("text")).alias("word_key")))
+_add("fold_key", lambda s, d, of=_whole: of(s, d).select("doc_id", normalize.fold_key(F.col("text")).alias("fold_key")))
 _add("sentence_split", lambda s, d: sentences.sentences(_docs(s, d)).select("doc_id", "sent", "sentence", "n_words"), f"SELECT doc_id, sent, sentence, n_words FROM {_SENTENCES} AS s")
 _add("long_sentence", lambda s, d: sentences.long_sentences(_docs(s, d)), f"SELECT doc_id, sent, n_words FROM {_SENTENCES} AS s WHERE n_words > 40")
 _add("adjacent_repeat", lambda s, d: sentences.adjacent_repeats(_docs(s, d)), f"SELECT doc_id, sent, word_at, words[word_at + 1] AS word FROM (SELECT *, unnest(range(1, len(words)))::BIGINT AS word_at FROM {_SENTENCES} AS s) AS t WHERE words[word_at + 1] = words[word_at]")
@@ -116,7 +129,7 @@ SELECT doc_id, min(sent) AS first_sent, min(word) AS word, count(*) AS n FROM c
 )
 _add("doc_stats", lambda s, d: sentences.document_stats(_docs(s, d)), f"SELECT d.doc_id, length(text)::BIGINT AS n_characters, coalesce(w, 0)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_sentences FROM documents d LEFT JOIN (SELECT doc_id, sum(n_words) AS w, count(*) AS n FROM {_SENTENCES} AS s GROUP BY doc_id) AS x ON d.doc_id = x.doc_id")
 _add("bigram_counts", lambda s, d: terms.bigram_counts(sentences.sentences(_docs(s, d))), f"SELECT a, b, count(*) AS n FROM (SELECT words[i] AS a, words[i + 1] AS b FROM (SELECT words, unnest(range(1, len(words))) AS i FROM {_SENTENCES} AS s) AS t) AS u GROUP BY a, b HAVING count(*) >= 3")
-_add("user_term_rule", lambda s, d: terms.term_hits(_overlay(s, d), s.createDataFrame(TERM_RULES, "preferred string, variant string")), f"SELECT doc_id, preferred, variant, ((length(text) - length(replace(text, variant, ''))) // length(variant))::BIGINT AS n FROM {OVERLAY_SQL} AS o JOIN (VALUES {', '.join(f'({_quote(a)}, {_quote(b)})' for a, b in TERM_RULES)}) AS r(preferred, variant) ON contains(text, variant)")
+_add("user_term_rule", lambda s, d, of=_overlay: terms.term_hits(of(s, d), s.createDataFrame(TERM_RULES, "preferred string, variant string")), f"SELECT doc_id, preferred, variant, ((length(text) - length(replace(text, variant, ''))) // length(variant))::BIGINT AS n FROM {OVERLAY_SQL} AS o JOIN (VALUES {', '.join(f'({_quote(a)}, {_quote(b)})' for a, b in TERM_RULES)}) AS r(preferred, variant) ON contains(text, variant)")
 _add("lexicon_merge", lambda s, d: terms.merge_lexicon(s.createDataFrame(LEXICON, "key string, f int, n int, p int")), f"SELECT key, bit_or(f)::INT AS f, max(n)::INT AS n, bit_or(p)::INT AS p FROM (VALUES {', '.join(f'({_quote(k)}, {f}, {n}, {p})' for k, f, n, p in LEXICON)}) AS t(key, f, n, p) GROUP BY key")
 _add("document_hash", lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 _add("decisions_latest", lambda s, d: terms.latest_decisions(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", "ts"), ("user_id", "event_type"), "ts", "event_id").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) AS e WHERE n = 1")
@@ -125,13 +138,13 @@ _add("fixed_window_counter", lambda s, d: terms.fixed_windows(s.read.parquet(f"{
 _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(chunk, {_quote(rf'\A(?:{p})\z')}) THEN '{k}'" for k, p in tokens.KINDS.items()) + " END"
 _add(
     "token_chunks",
-    lambda s, d: tokens.chunks(_overlay(s, d)),
+    lambda s, d, of=_overlay: tokens.chunks(of(s, d)),
     f"SELECT doc_id, chunk_at, {_KIND_SQL} AS kind, (sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY chunk_at) - length(chunk))::BIGINT AS start, chunk FROM (SELECT doc_id, unnest(range(len(m)))::BIGINT AS chunk_at, unnest(m) AS chunk FROM (SELECT doc_id, regexp_extract_all(text, {_quote(tokens.CHUNK)}) AS m FROM {OVERLAY_SQL} AS o) AS p) AS q",
 )
-_add("word_segments", lambda s, d: tokens.segments(_overlay(s, d), s.createDataFrame(WORDS, "key string, authoritative boolean, misspelling boolean, n int")))
-_add("meaning_signature", lambda s, d: _overlay(s, d).select("doc_id", meaning.meaning_signature(F.col("text")).alias("signature")))
-_add("visual_order_repair", lambda s, d: _overlay(s, d).select("doc_id", meaning.repair_visual_order(F.col("text")).alias("text")), f"SELECT doc_id, regexp_replace(regexp_replace(text, {_quote(meaning.PREBASE)}, '\\1\\3\\2', 'g'), {_quote(meaning.RO_FIRST)}, '\\1\\3\\2\\4', 'g') AS text FROM {OVERLAY_SQL} AS o")
-_add("visual_order_score", lambda s, d: _overlay(s, d).select("doc_id", F.round(meaning.visual_order_score(F.col("text")), 6).alias("score")), f"SELECT doc_id, round((len(regexp_extract_all(text, {_quote(meaning.PREBASE)})) + len(regexp_extract_all(text, {_quote(meaning.RO_FIRST)}))) / greatest(1.0, len(regexp_extract_all(text, '[\\x{{1780}}-\\x{{17FF}}]')) / 10), 6)::DOUBLE AS score FROM {OVERLAY_SQL} AS o")
+_add("word_segments", lambda s, d, of=_whole: tokens.segments(of(s, d), s.createDataFrame(WORDS, "key string, authoritative boolean, misspelling boolean, n int")))
+_add("meaning_signature", lambda s, d, of=_whole: of(s, d).select("doc_id", meaning.meaning_signature(F.col("text")).alias("signature")))
+_add("visual_order_repair", lambda s, d, of=_overlay: of(s, d).select("doc_id", meaning.repair_visual_order(F.col("text")).alias("text")), f"SELECT doc_id, regexp_replace(regexp_replace(text, {_quote(meaning.PREBASE)}, '\\1\\3\\2', 'g'), {_quote(meaning.RO_FIRST)}, '\\1\\3\\2\\4', 'g') AS text FROM {OVERLAY_SQL} AS o")
+_add("visual_order_score", lambda s, d, of=_overlay: of(s, d).select("doc_id", F.round(meaning.visual_order_score(F.col("text")), 6).alias("score")), f"SELECT doc_id, round((len(regexp_extract_all(text, {_quote(meaning.PREBASE)})) + len(regexp_extract_all(text, {_quote(meaning.RO_FIRST)}))) / greatest(1.0, len(regexp_extract_all(text, '[\\x{{1780}}-\\x{{17FF}}]')) / 10), 6)::DOUBLE AS score FROM {OVERLAY_SQL} AS o")
 
 _FOUND = f"(SELECT *, {_SUGGEST} AS suggestion FROM ({spans.findings_sql(DOCS_SQL, surface.RULES)}) AS ff)"
 _LEVEL = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{v[0]}'" for r, v in surface.LEVELS.items()) + " ELSE 'suggestion' END"
@@ -165,9 +178,9 @@ SELECT (SELECT count(*) FROM a) AS n_expected, (SELECT count(*) FROM a WHERE EXI
 (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE f.doc_id = a.doc_id AND f.start < a.stop AND f.stop > a.start)) AS n_false""",
 )
 _BLANKS = "(' ', chr(9), chr(10), chr(13), chr(11), chr(12), '')"
-_add("multiple_spaces", lambda s, d: findings.wide_gaps(_overlay(s, d)), f"SELECT doc_id, start, stop FROM ({spans.findings_sql(OVERLAY_SQL, {'gap': ' {2,}'})}) AS f WHERE start > 0 AND substr(text, start, 1) NOT IN {_BLANKS} AND substr(text, stop + 1, 1) NOT IN {_BLANKS}")
+_add("multiple_spaces", lambda s, d, of=_overlay: findings.wide_gaps(of(s, d)), f"SELECT doc_id, start, stop FROM ({spans.findings_sql(OVERLAY_SQL, {'gap': ' {2,}'})}) AS f WHERE start > 0 AND substr(text, start, 1) NOT IN {_BLANKS} AND substr(text, stop + 1, 1) NOT IN {_BLANKS}")
 _SPACED = {"spaced": r"[\x{1780}-\x{17DD}] \x{17D4}", "tight": r"[\x{1780}-\x{17DD}]\x{17D4}"}
-_add("spaced_khan", lambda s, d: findings.spaced_khan(_overlay(s, d)), f"SELECT doc_id, start + 1 AS start, stop FROM (SELECT *, count(*) FILTER (rule_id = 'spaced') OVER (PARTITION BY doc_id) AS a, count(*) FILTER (rule_id = 'tight') OVER (PARTITION BY doc_id) AS b FROM ({spans.findings_sql(OVERLAY_SQL, _SPACED)}) AS f) AS g WHERE rule_id = 'spaced' AND a < b")
+_add("spaced_khan", lambda s, d, of=_overlay: findings.spaced_khan(of(s, d)), f"SELECT doc_id, start + 1 AS start, stop FROM (SELECT *, count(*) FILTER (rule_id = 'spaced') OVER (PARTITION BY doc_id) AS a, count(*) FILTER (rule_id = 'tight') OVER (PARTITION BY doc_id) AS b FROM ({spans.findings_sql(OVERLAY_SQL, _SPACED)}) AS f) AS g WHERE rule_id = 'spaced' AND a < b")
 _add("legacy_font", lambda s, d: findings.legacy_font(_docs(s, d)), r"SELECT doc_id FROM documents WHERE length(text) > 40 AND regexp_matches(text, '[A-Za-z\[\];''\\]{25,}') AND NOT regexp_matches(text, '[\x{1780}-\x{17FF}\x{19E0}-\x{19FF}]')")
 
 
