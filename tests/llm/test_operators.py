@@ -136,6 +136,21 @@ def test_similar_texts_are_dropped_as_brute_force_says(spark, texts):
     assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
+def test_short_similar_texts_are_found_as_brute_force_says(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in (6, 12, 20, 30, 50, 60, 100):
+        for _ in range(12):
+            t = prose(rng, n)
+            w = t.split()
+            w[rng.randrange(n)] = "new"
+            texts += [t, f"{t} more", f"first {t} last", " ".join(w)]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a, len(texts)) if (fps[a] ^ fps[b]).bit_count() <= 2 or _jaccard(texts[a], texts[b]) >= 0.8]
+    kept = simhash.drop_near_copies(frame(spark, texts).repartition(5))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_components(near).values()))
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "zz yy xx ww")], "doc_id long, text string")

@@ -9,8 +9,8 @@ words at distance 2 or less share such an index, so a pair of near fingerprints
 made of an exact segment and a codeword index of the next one. Keys are joined and pairs verified.
 
 The pipeline's stage removes near copies with a similarity of 0.8 or more of their five-word shingles. Their
-fingerprints differ in more bits than Golay keys bridge, so it adds keys from fingerprints of pieces of the texts
-and verifies the pairs (similar_groups).
+fingerprints differ in more bits than Golay keys bridge, so it adds keys from an exact prefix filter on the
+shingles and verifies the pairs (similar_groups).
 
 Defined cases: null text is empty; an empty text has fingerprint zero and links like any other;
 repeated rows all stay, each with its component; a null id is kept and never becomes a component id
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import staged, table
@@ -38,9 +38,8 @@ SPLIT_DEPTH = 4
 #: Texts are near copies if their sets of five-word shingles have this Jaccard similarity or more.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Mean words of a piece, and the share of its pieces that a near copy has in common with a text.
-PIECE_WORDS = 10
-LEAST_COMMON = 0.35
+#: Cells (2 to this power) by which shingles are counted, to take the rarer ones as keys first.
+ORDER_BITS = 20
 WINDOW_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,40 +230,57 @@ def shingle_set(h: np.ndarray, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(_windows(h, shingle))
 
 
-def piece_fingerprints(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of the pieces of a text with word hashes h, distinct.
+def _crowds(docs: DataFrame, text: str) -> np.ndarray:
+    """In how many texts each cell of shingle hashes occurs."""
 
-    A piece ends where the hash of a pair of words says so (every PIECE_WORDS words in the mean), so an edit changes
-    the pieces it touches and no others.
-    """
-    import xxhash
+    def run(batches):
+        cells = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                cells[_cells(shingle_set(_mixed(t.as_py() or b"")))] += 1
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+    found = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-    if not len(h):
-        return h
-    cut = np.nonzero((_windows(h, 2) >> np.uint64(20)) % np.uint64(PIECE_WORDS) == 0)[0] + 1 if len(h) > 1 else []
-    raw, ends = h.tobytes(), [0, *(int(c) for c in cut), len(h)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(raw[8 * x : 8 * y], 42) for x, y in zip(ends, ends[1:]) if x < y], np.uint64))
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def prefix_keys(shingles: np.ndarray, crowds: np.ndarray) -> np.ndarray:
+    """The first n - ceil(SIMILARITY n) + 1 of n sorted shingles, by the crowd of their cell and then by hash.
+
+    Two sets of this similarity have SIMILARITY n shingles in common, so by any one order of all shingles they share
+    one of these.
+    """
+    order = np.argsort(crowds[_cells(shingles)], kind="stable")
+    return shingles[order[: int((1 - SIMILARITY) * len(shingles) + 1e-6) + 1]]
 
 
-def _described(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(row, node, fp, size, pieces) of each row of (row, text); node identifies the sequence of words."""
+def _described(docs: DataFrame, text: str, shingle: int, crowds: np.ndarray) -> DataFrame:
+    """(row, node, fp, size, keys) of each row of (row, text); node identifies the sequence of words."""
     import xxhash
 
     kind = docs.schema["row"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(crowds)
 
     def run(batches):
         for batch in batches:
             found = []
             for t in batch.column(1).cast(pa.binary()):
                 t = t.as_py() or b""
-                h = _mixed(t)
+                parts = shingle_set(_mixed(t))
                 same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)
-                found.append((same, fingerprint(t, shingle), len(shingle_set(h)), piece_fingerprints(h).view(np.int64)))
-            node, fp, size, pieces = zip(*found) if found else ((), (), (), ())
+                found.append((same, fingerprint(t, shingle), len(parts), prefix_keys(parts, shared.value).view(np.int64)))
+            node, fp, size, keys = zip(*found) if found else ((), (), (), ())
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "keys"])
 
-    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size long, pieces array<long>")
+    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size long, keys array<long>")
 
 
 def _alike(a: str, b: str):
@@ -301,36 +317,32 @@ def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(row, component) for each row of docs (row: struct n, k, h; text): component is the smallest row reachable.
 
     Links: fingerprints that differ in MAX_BITS bits or fewer (Golay keys), and texts whose sets of five-word
-    shingles have a similarity of 0.8 or more, which differ in up to 14 of 64 bits and are found by their pieces:
-    of the pieces of a text, rarest first, all but a share of LEAST_COMMON are keys, so two texts with that share
-    of pieces in common have a key in common. Each text of a key is first held against the key's smallest one;
-    then all pairs of a key that are not yet in one component. Equal texts are one node (64-bit hash of the words).
+    shingles have a similarity of 0.8 or more, which differ in up to 14 of 64 bits and are found by their prefixes
+    (prefix_keys, exact). Each text of a key is first held against the key's smallest one; then all pairs of a key
+    that are not yet in one component. Equal texts are one node (64-bit hash of the words).
     """
-    base = staged(_described(docs, "text", shingle), "similar")
-    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "pieces")))
+    base = staged(_described(docs, "text", shingle, _crowds(docs, "text")), "similar")
+    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
     nodes = staged(nodes, "similar-nodes")
     fps = nodes.groupBy("fp").agg(F.min("node").alias("of"))
     ends = near_pairs(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("of").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("of").alias("v")), "b")
     edges = nodes.join(fps, "fp").filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
     edges = edges.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
-    posted = nodes.select("node", "size", F.explode("pieces").alias("piece"))
-    posted = posted.join(posted.groupBy("piece").agg(F.count("*").alias("df")), "piece")
-    own = Window.partitionBy("node")
-    posted = posted.withColumn("at", F.row_number().over(own.orderBy("df", "piece"))).withColumn("m", F.count("*").over(own))
-    keyed = posted.filter(F.col("at") <= F.col("m") - F.ceil(LEAST_COMMON * F.col("m")) + 1).filter("df > 1").select("piece", "node", "size")
+    posted = nodes.select("node", "size", F.explode("keys").alias("part"))
+    keyed = posted.join(posted.groupBy("part").count().filter("count > 1").select("part"), "part", "left_semi")
     keyed = staged(keyed, "similar-keys")
 
-    least = keyed.groupBy("piece").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    stars = keyed.join(least.select("piece", F.col("m.node").alias("a"), F.col("m.size").alias("of_size")), "piece")
+    least = keyed.groupBy("part").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    stars = keyed.join(least.select("part", F.col("m.node").alias("a"), F.col("m.size").alias("of_size")), "part")
     stars = stars.filter((F.col("node") > F.col("a")) & _alike("size", "of_size")).select("a", F.col("node").alias("b")).distinct()
     edges = staged(edges.unionByName(_verified(stars, nodes, docs)), "similar-edges")
 
     keyed = _rooted(keyed, edges)
-    open_ = keyed.groupBy("piece").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("piece")
-    keyed = staged(keyed.join(open_, "piece", "left_semi"), "similar-open")
-    a, b = (keyed.select("piece", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp"))) for s in "ab")
-    rest = a.join(b.hint("merge"), "piece").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _alike("size_a", "size_b"))
+    open_ = keyed.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("part")
+    keyed = staged(keyed.join(open_, "part", "left_semi"), "similar-open")
+    a, b = (keyed.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp"))) for s in "ab")
+    rest = a.join(b.hint("merge"), "part").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _alike("size_a", "size_b"))
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     edges = edges.unionByName(_verified(rest, nodes, docs))
 
