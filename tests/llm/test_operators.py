@@ -151,6 +151,46 @@ def test_short_similar_texts_are_found_as_brute_force_says(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_components(near).values()))
 
 
+@pytest.mark.parametrize("hot_bucket", [2, 8])
+def test_crowded_buckets_lose_no_link(spark, hot_bucket):
+    rng = random.Random(33)
+    texts = []
+    for n in (40, 150):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for _ in range(60):  # families of copies with few to many edits, around the similarity
+            w = list(base)
+            for at in rng.sample(range(n), rng.randint(0, n // 18)):
+                w[at] = rng.choice(["", f"u{rng.randrange(10**9)}", "same"])
+            texts.append(" ".join(w[: n - rng.choice((0, 0, 3))]))
+    line = prose(rng, 30)
+    texts += [f"{prose(rng, 15)} {line}" for _ in range(30)]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a, len(texts)) if (fps[a] ^ fps[b]).bit_count() <= 2 or _jaccard(texts[a], texts[b]) >= 0.8]
+    expected = sorted(set(_components(near).values()))
+    assert 10 < len(expected) < len(texts) - 30
+    kept = simhash.drop_near_copies(frame(spark, texts).repartition(4), hot_bucket=hot_bucket)
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
+
+
+def test_difference_keys_are_shared_by_all_similar_sets():
+    rng, crowds = random.Random(4), np.zeros(1 << simhash.ORDER_BITS, np.int64)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(20, 80))]
+        edit = lambda k: np.unique(np.array([rng.getrandbits(64) if rng.random() < k else v for v in base], np.uint64))
+        hub, x, y = edit(rng.random() / 5), edit(rng.random() / 9), edit(rng.random() / 9)
+        (lx, _, kx), (ly, _, ky) = (simhash.difference_keys(hub, v, crowds) for v in (x, y))
+        if not (lx and ly) and simhash.similar(len(x), len(y), len(np.intersect1d(x, y))) and len(np.setxor1d(hub, x)) and len(np.setxor1d(hub, y)):
+            assert len(np.intersect1d(kx, ky))
+
+
+def test_near_copies_with_clashing_columns_and_maps(spark):
+    docs = frame(spark, ["a b c d e f", "a b c d e f", "z y x"]).withColumns({c: F.lit(1) for c in ("stay", "row", "stay_", "node", "part", "of", "a", "b")}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs = docs.unionByName(docs.filter("doc_id = 2"))  # a row repeated in full
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "zz yy xx ww")], "doc_id long, text string")

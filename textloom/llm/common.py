@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -18,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of this machine in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
@@ -33,7 +36,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark remove the shuffle files of finished jobs."""
+    for df in tables:
+        spark, path = df.sparkSession, df.staged_at
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; kinds that Spark does not hash (maps, variants) go by their JSON."""
+    plain = lambda c: F.to_json(F.struct(c)) if any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{c}`")
+    return F.xxhash64(*map(plain, df.columns))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,8 +9,8 @@ words at distance 2 or less share such an index, so a pair of near fingerprints
 made of an exact segment and a codeword index of the next one. Keys are joined and pairs verified.
 
 The pipeline's stage removes near copies with a similarity of 0.8 or more of their five-word shingles. Their
-fingerprints differ in more bits than Golay keys bridge, so it adds keys from an exact prefix filter on the
-shingles and verifies the pairs (similar_groups).
+fingerprints differ in up to 14 of 64 bits, more than Golay keys bridge, so it adds keys from an exact prefix
+filter on the shingles and verifies those pairs on whole shingle sets (similar_groups).
 
 Defined cases: null text is empty; an empty text has fingerprint zero and links like any other;
 repeated rows all stay, each with its component; a null id is kept and never becomes a component id
@@ -19,7 +19,8 @@ unless its component has no other. Only id and text columns are read, so other c
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged, table
+from textloom.llm.common import discard, row_hash, staged, table, unused
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 2
@@ -40,6 +41,10 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Cells (2 to this power) by which shingles are counted, to take the rarer ones as keys first.
 ORDER_BITS = 20
+#: Of the texts' shingle sets only those of asked nodes are made; a bitmap of 2 to this power of bits leaves out most others.
+ASKED_BITS = 23
+#: Parts shared by more nodes get new keys, by the difference to a hub, in place of a list of their pairs.
+HOT_PART = 64
 WINDOW_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,8 +235,12 @@ def shingle_set(h: np.ndarray, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(_windows(h, shingle))
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
 def _crowds(docs: DataFrame, text: str) -> np.ndarray:
-    """In how many texts each cell of shingle hashes occurs."""
+    """In how many texts each cell of shingle hashes occurs: a table of fixed size, which only sets an order."""
 
     def run(batches):
         cells = np.zeros(1 << ORDER_BITS, np.int64)
@@ -247,10 +256,6 @@ def _crowds(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-
-
 def prefix_keys(shingles: np.ndarray, crowds: np.ndarray) -> np.ndarray:
     """The first n - ceil(SIMILARITY n) + 1 of n sorted shingles, by the crowd of their cell and then by hash.
 
@@ -261,12 +266,33 @@ def prefix_keys(shingles: np.ndarray, crowds: np.ndarray) -> np.ndarray:
     return shingles[order[: int((1 - SIMILARITY) * len(shingles) + 1e-6) + 1]]
 
 
-def _described(docs: DataFrame, text: str, shingle: int, crowds: np.ndarray) -> DataFrame:
-    """(row, node, fp, size, keys) of each row of (row, text); node identifies the sequence of words."""
+def similar(n: int, m: int, common: int) -> bool:
+    return common >= SIMILARITY * (n + m - common) - 1e-9
+
+
+def difference_keys(hub: np.ndarray, other: np.ndarray, crowds: np.ndarray) -> tuple[bool, int, np.ndarray]:
+    """(whether two shingle sets are similar, how many shingles one of them alone has, keys of ``other`` beside this hub).
+
+    Let D be what a set and the hub do not share. Similar sets x and y differ by (n + m) / 9 shingles at most, so D(x) and
+    D(y) have (|D(x)| + |D(y)| - (n + m) / 9) / 2 in common: one at least unless both are similar to the hub (and
+    then they are in one group already). So by any one order, x and y share one of the first |D| - t + 1 elements, t being
+    the least overlap with any partner. The order is: those that the set has besides the hub, rarest cells first, then
+    those of the hub that it lacks.
+    """
+    added, lost = np.setdiff1d(other, hub, assume_unique=True), np.setdiff1d(hub, other, assume_unique=True)
+    size = len(added) + len(lost)
+    linked = similar(len(hub), len(other), len(other) - len(added))
+    # a similar partner has at most n / SIMILARITY shingles and so differs by n (1 + 1 / SIMILARITY) / 9 at most
+    least = 4 * size // 9 + 1 if linked else max(1, math.ceil(size - len(other) * (1 + 1 / SIMILARITY) / 9 - 1e-6))
+    order = np.argsort(crowds[_cells(added)], kind="stable")
+    return linked, size, np.concatenate((added[order], ~lost))[: max(0, size - least + 1)]
+
+
+def _described(docs: DataFrame, text: str, shared) -> DataFrame:
+    """(row, node, fp, size, central, keys) of each row of (row, text); node identifies the sequence of words."""
     import xxhash
 
     kind = docs.schema["row"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(crowds)
 
     def run(batches):
         for batch in batches:
@@ -275,99 +301,159 @@ def _described(docs: DataFrame, text: str, shingle: int, crowds: np.ndarray) ->
                 t = t.as_py() or b""
                 parts = shingle_set(_mixed(t))
                 same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)
-                found.append((same, fingerprint(t, shingle), len(parts), prefix_keys(parts, shared.value).view(np.int64)))
-            node, fp, size, keys = zip(*found) if found else ((), (), (), ())
+                keys = prefix_keys(parts, shared.value)
+                central = float(np.log2(shared.value[_cells(keys)]).mean()) if len(keys) else 0.0
+                found.append((same, fingerprint(t), len(parts), central, keys.view(np.int64)))
+            node, fp, size, central, keys = zip(*found) if found else ((), (), (), (), ())
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int32()), pa.array(central, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "central", "keys"])
+
+    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size int, central float, keys array<long>")
+
 
-    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size long, keys array<long>")
+def _bucket_pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a part and may be similar, from rows (part, node, size, at, length, linked).
+
+    length counts the elements that the keys were taken from, at is a key's rank among them. At the first key that two nodes
+    share, none of the elements before is common, which bounds their overlap; a pair below the bound there is not similar.
+    """
+    cols = ("part", "node", "size", "at", "length", "linked")
+    a, b = (keyed.select(*(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
+    alike = (F.col("size_a") >= SIMILARITY * F.col("size_b")) & (F.col("size_b") >= SIMILARITY * F.col("size_a"))
+    left = F.least(F.col("length_a") - F.col("at_a"), F.col("length_b") - F.col("at_b"))
+    need = (F.col("length_a") + F.col("length_b") - (F.col("size_a") + F.col("size_b")) / 9) / 2
+    pairs = a.join(b.hint("merge"), (F.col("part_a") == F.col("part_b")) & (F.col("node_a") < F.col("node_b")) & alike & (left >= need - 1e-6) & ~(F.col("linked_a") & F.col("linked_b")))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _alike(a: str, b: str):
-    """Could two sets of these sizes have a similarity of SIMILARITY?"""
-    return (F.col(a) >= SIMILARITY * F.col(b)) & (F.col(b) >= SIMILARITY * F.col(a))
+def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, parts): the shingle sets of the nodes in ``asked``, from one scan of the texts.
 
+    Texts of other nodes are left out by a bitmap of fixed size first, then exactly by the join.
+    """
+    import xxhash
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    pairs = staged(pairs, "similar-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    asked = asked.select("node", F.col("rep.k").alias("rep_k"), F.col("rep.h").alias("rep_h"))
+    cell = F.col("node").bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
+    words = asked.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (ASKED_BITS - 6), np.uint64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(_mixed(t.as_py() or b"")).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "parts"])
+            found = {}
+            for t in batch.column(0).cast(pa.binary()):
+                t = t.as_py() or b""
+                node = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)
+                low = node & ((1 << ASKED_BITS) - 1)
+                if node not in found and int(shared.value[low >> 6]) >> (low & 63) & 1:
+                    found[node] = shingle_set(_mixed(t)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.list_(pa.int64()))], ["node", "parts"])
 
-    of = texts.join(asked, F.col("row.k").eqNullSafe(F.col("rep_k")) & (F.col("row.h") == F.col("rep_h")))
-    sets = staged(of.select("node", "text").mapInArrow(run, "node long, parts array<long>").dropDuplicates(["node"]), "similar-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("pa", "pb")))
-    return both.filter(F.col("common") >= SIMILARITY * (F.size("pa") + F.size("pb") - F.col("common"))).select("a", "b")
+    return docs.select("text").mapInArrow(run, "node long, parts array<long>").join(asked, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with comp: the smallest node reachable."""
-    roots = components(edges)
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+def _compared(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
+    """pairs (a, b, hub boolean) with linked; for hubs (a) also length and keys of b beside the hub (difference_keys)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            linked, length, keys = [], [], []
+            for hub, x, y in zip(*(batch.column(k) for k in (2, 3, 4))):
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
+                if hub.as_py():
+                    found = difference_keys(x, y, shared.value)
+                else:
+                    found = similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))), 0, y[:0]
+                linked.append(bool(found[0]))
+                length.append(found[1])
+                keys.append(found[2].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(linked, pa.bool_()), pa.array(length, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "hub", "linked", "length", "keys"])
+
+    return both.select("a", "b", "hub", "x", "y").mapInArrow(run, "a long, b long, hub boolean, linked boolean, length int, keys array<long>")
+
+
+def _crowded(keyed: DataFrame, hot_bucket: int) -> DataFrame:
+    """keyed without the parts of one node, with n: how many rows its part has."""
+    counts = keyed.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    return staged(keyed.join(counts, "part").withColumn("hot", F.col("n") > hot_bucket).drop("n"), "similar-keys")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shared, hot_bucket: int) -> DataFrame:
+    """Links (a, b) of nodes (node, size, central, keys): every pair of a similarity of 0.8 or more is linked, or joined by other links.
+
+    Keys are the prefixes of the shingle sets. Buckets of up to hot_bucket nodes list their pairs that pass the
+    size and position bounds. In a more crowded one, all are held against the hub
+    (the node whose keys are the most common) and get new keys from their difference to it, which is exact
+    (difference_keys), until no bucket is crowded or the depth is used up.
+    """
+    posted = nodes.select("node", "size", "central", F.col("size").alias("length"), F.lit(False).alias("linked"), F.posexplode("keys").alias("at", "part"))
+    edges, sets, done = [], None, []
+    for depth in range(SPLIT_DEPTH + 1):
+        keyed = _crowded(posted, hot_bucket if depth < SPLIT_DEPTH else 1 << 62)
+        hot = keyed.filter("hot")
+        hubs = hot.groupBy("part").agg(F.max_by("node", F.struct("central", "node")).alias("a"))
+        hubs = hot.join(hubs, "part").filter("node <> a").select("a", F.col("node").alias("b"), "size", "central").distinct()
+        pairs = _bucket_pairs(keyed.filter("not hot"))
+        asks = [pairs.select("a", "b", F.lit(False).alias("hub"), F.lit(0).alias("size"), F.lit(0.0).cast("float").alias("central")), hubs.select("a", "b", F.lit(True).alias("hub"), "size", "central")]
+        asks = staged(asks[0].unionByName(asks[1]), "similar-pairs")
+        if sets is None:  # nodes of later rounds are among these
+            asked = asks.select(F.col("a").alias("node")).unionByName(asks.select(F.col("b").alias("node"))).distinct()
+            sets = staged(_sets(docs, staged(asked, "similar-asked")), "similar-sets")
+        compared = staged(_compared(asks.select("a", "b", "hub"), sets, shared), "similar-compared")
+        edges.append(compared.filter("linked").select("a", "b"))
+        again = compared.filter("hub").join(asks.filter("hub").select("a", "b", "size", "central"), ["a", "b"])
+        # the hub itself needs no key: all of its pairs are verified
+        posted = again.select(F.col("a").alias("of"), F.col("b").alias("node"), "size", "central", "length", "linked", F.posexplode("keys").alias("at", "element"))
+        posted = posted.select(F.xxhash64("of", "element").alias("part"), "node", "size", "central", "length", "linked", "at")
+        done += [keyed, asks]
+        if depth == SPLIT_DEPTH or not compared.filter("hub").take(1):
+            break
+    discard(*done, sets)
+    return reduce(DataFrame.unionByName, edges)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, hot_bucket: int = HOT_PART) -> DataFrame:
     """(row, component) for each row of docs (row: struct n, k, h; text): component is the smallest row reachable.
 
-    Links: fingerprints that differ in MAX_BITS bits or fewer (Golay keys), and texts whose sets of five-word
-    shingles have a similarity of 0.8 or more, which differ in up to 14 of 64 bits and are found by their prefixes
-    (prefix_keys, exact). Each text of a key is first held against the key's smallest one; then all pairs of a key
-    that are not yet in one component. Equal texts are one node (64-bit hash of the words).
+    Links: fingerprints that differ in MAX_BITS bits or fewer (Golay keys, near_pairs), and texts whose sets of five-word
+    shingles have a similarity of 0.8 or more (similar_links). Equal texts are one node (64-bit hash of the words).
     """
-    base = staged(_described(docs, "text", shingle, _crowds(docs, "text")), "similar")
-    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
+    shared = docs.sparkSession.sparkContext.broadcast(_crowds(docs, "text"))
+    base = staged(_described(docs, "text", shared), "similar")
+    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "central", "keys")))
     nodes = staged(nodes, "similar-nodes")
-    fps = nodes.groupBy("fp").agg(F.min("node").alias("of"))
+    fps = staged(nodes.groupBy("fp").agg(F.min("node").alias("of")), "similar-fps")
     ends = near_pairs(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("of").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("of").alias("v")), "b")
-    edges = nodes.join(fps, "fp").filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
-    edges = edges.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b")))
-
-    posted = nodes.select("node", "size", F.explode("keys").alias("part"))
-    keyed = posted.join(posted.groupBy("part").count().filter("count > 1").select("part"), "part", "left_semi")
-    keyed = staged(keyed, "similar-keys")
-
-    least = keyed.groupBy("part").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    stars = keyed.join(least.select("part", F.col("m.node").alias("a"), F.col("m.size").alias("of_size")), "part")
-    stars = stars.filter((F.col("node") > F.col("a")) & _alike("size", "of_size")).select("a", F.col("node").alias("b")).distinct()
-    edges = staged(edges.unionByName(_verified(stars, nodes, docs)), "similar-edges")
-
-    keyed = _rooted(keyed, edges)
-    open_ = keyed.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("part")
-    keyed = staged(keyed.join(open_, "part", "left_semi"), "similar-open")
-    a, b = (keyed.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp"))) for s in "ab")
-    rest = a.join(b.hint("merge"), "part").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _alike("size_a", "size_b"))
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    edges = edges.unionByName(_verified(rest, nodes, docs))
-
-    found = _rooted(nodes.select("node", "rep"), edges)
+    near = nodes.join(fps, "fp").filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
+    near = staged(near.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))), "similar-near")
+
+    roots = components(near.unionByName(similar_links(docs, nodes, shared, hot_bucket)))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("comp"))
     least = found.groupBy("comp").agg(F.min("rep").alias("component"))
-    return base.select("row", "node").join(found.select("node", "comp"), "node").join(least, "comp").select("row", "component")
+    out = staged(base.select("row", "node").join(found.select("node", "comp"), "node").join(least, "comp").select("row", "component"), "similar-groups")
+    discard(base, nodes, fps, near)
+    return out
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_bucket: int = HOT_PART) -> DataFrame:
     """One row of each group of similar_groups: the first by key, then by a hash of the row. All columns stay.
 
-    A row with a null key stays only if its group has no key.
+    A row with a null key stays only if its group has no key. Of rows repeated in full one stays. Other columns may
+    have any name and kind.
     """
-    order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    found = similar_groups(docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), order.alias("h")).alias("row"), F.col(text).alias("text")), shingle)
-    stay = found.select(F.col("component").alias("row")).distinct()
-    once = stay.select(F.col("row.k").alias("stay_k"), F.col("row.h").alias("stay_h"))
-    same = F.col(key).eqNullSafe(F.col("stay_k")) & (order == F.col("stay_h"))
-    kept = docs.join(once, same, "left_semi")
-    # rows repeated in full have one hash; of those, one stays
-    return kept.dropDuplicates() if _repeats(docs, key, order) else kept
-
-
-def _repeats(docs: DataFrame, key: str, order) -> bool:
-    return bool(docs.groupBy(F.col(key), order).count().filter("count > 1").take(1))
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row_hash(docs).alias("h"))
+    found = similar_groups(docs.select(row.alias("row"), F.col(text).alias("text")), hot_bucket)
+    name = unused(docs.columns, "stay")
+    stay = found.select(F.col("component").alias(name)).distinct()
+    kept = docs.withColumn(unused(docs.columns, "row"), row)
+    row_name = kept.columns[-1]
+    kept = kept.join(stay, F.col(f"{row_name}.k").eqNullSafe(F.col(f"{name}.k")) & (F.col(f"{row_name}.h") == F.col(f"{name}.h")), "left_semi")
+    if found.groupBy("row").count().filter("count > 1").take(1):
+        kept = kept.dropDuplicates([row_name])
+    return kept.drop(row_name)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
