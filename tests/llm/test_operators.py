@@ -241,6 +241,48 @@ def test_cutoffs_catch_junk_and_spare_good_texts(spark):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_cutoffs_match_brute_force_and_hold_the_risk(spark):
+    """The proposed and certified cutoffs, recomputed row by row; every stratum by itself, null and '' apart."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(5000):
+        good = rng.random() < 0.8
+        stat = {r: min(1.0, abs(rng.gauss(0.05 if good else 0.2, 0.08 if good else 0.25))) for r in quality.RULES}
+        rows.append((i, (None, "", "de")[i % 3] if i < 4400 else "few", good, {"base_failed": rng.random() < 0.05, **stat}))
+    kinds = ", ".join(f"{r}: double" for r in quality.RULES)
+    labelled = spark.createDataFrame(rows, f"key: long, stratum: string, good: boolean, s: struct<base_failed: boolean, {kinds}>")
+    fold = {r["key"]: r["f"] for r in labelled.select("key", (F.pmod(F.xxhash64("key"), F.lit(3)) == 0).alias("f")).collect()}
+    found = quality.fit_cutoffs(labelled, risk=0.03)
+    strata = {x for x in (None, "", "de", "few") if sum(1 for k, s, g, st in rows if s == x and g and not st["base_failed"] and not fold[k]) >= math.log(0.05) / math.log(0.97)}
+    expected = {}
+    for x in strata:
+        mine = [(k, g, st) for k, s, g, st in rows if s == x and not st["base_failed"]]
+        a_good, a_bad = ([st for k, g, st in mine if fold[k] and g == y] for y in (True, False))
+        hold = [st for k, g, st in mine if not fold[k] and g]
+        last = None
+        for share in quality.STEPS:
+            cuts = {}
+            for r in quality.RULES:
+                options = [(sum(st[r] > c for st in a_bad) / max(1, len(a_bad)) - quality.GOOD_WEIGHT * sum(st[r] > c for st in a_good) / len(a_good), c) for c in quality.GRID if sum(st[r] > c for st in a_good) <= share * len(a_good)]
+                best = max(options, default=(0, None), key=lambda o: o[0])
+                if best[0] > 0:
+                    cuts[r] = best[1]
+            lost = sum(any(st[r] > c for r, c in cuts.items()) for st in hold)
+            if cuts and not quality.bounded(lost, len(hold), 0.03, 0.05 / len(strata)):
+                break
+            last = cuts or last
+        if last:
+            expected[x] = last
+    assert found == expected and len(found) >= 2 and None in strata and "" in strata
+
+
+def test_quality_rules_with_clashing_columns_and_no_labels(spark):
+    docs = frame(spark, [prose(random.Random(2), 60), "few words", None]).withColumns({c: F.lit(True) for c in ("good", "stratum", "step")})
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [0]
+
+
 # --- packing
 
 
