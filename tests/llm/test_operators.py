@@ -422,6 +422,65 @@ def test_toxic_texts_score_high_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.score(test, *nothing).collect()} == {0.0} or all(r["predicted"] == 0 for r in toxicity.score(test, *nothing).collect())
 
 
+def test_lexicon_matches_direct_counts(spark):
+    rng = random.Random(17)
+    rows = [(" ".join(rng.choice(["plain", "plainly", "badword", "badwords", "x"] if i % 4 == 0 else ["plain", "plainly", "x", "other"]) for _ in range(20)), i % 4 == 0, i % 2) for i in range(200)]
+    rows += [(None, False, 0), ("", True, 1)]
+    docs = spark.createDataFrame(rows, "text string, toxic boolean, half int")
+    got = {r["unit"]: r.asDict() for r in toxicity.token_counts(docs).collect()}
+    for u in ("=plain", "=badword", "badword", "badw", "plain", "plainl"):
+        fits = lambda w: w == u[1:] if u[0] == "=" else w.startswith(u) and len(w) > len(u)  # noqa: B023, E731
+        for h in (0, 1):
+            for c in (0, 1):
+                per = [sum(map(fits, (t or "").split())) for t, y, half in rows if y == c and half == h]
+                assert (got[u][f"t{h}{c}"], got[u][f"d{h}{c}"]) == (sum(per), sum(map(bool, per)))
+    sizes = {f"d{h}{c}": sum(y == c and half == h for _, y, half in rows) for h in (0, 1) for c in (0, 1)}
+    sizes |= {f"t{h}{c}": sum(len((t or "").split()) for t, y, half in rows if y == c and half == h) for h in (0, 1) for c in (0, 1)}
+    found = toxicity.lexicons(toxicity.token_counts(docs), sizes)[2]
+    t, c = (sum(got["badw"][f"t{h}{k}"] for h in (0, 1)) for k in (1, 0))
+    n, m = (sum(sizes[f"t{h}{k}"] for h in (0, 1)) for k in (1, 0))
+    a, share = toxicity.PRIOR * (t + c) / (n + m), n / (n + m)
+    expected = math.log((t + a + share) / (n + toxicity.PRIOR)) - math.log((c + a + 1 - share) / (m + toxicity.PRIOR))
+    assert abs(found["badw"][0] - expected) < 1e-9 and found["badw"][1] > 4.2 and "=x" not in found
+
+
+def test_extreme_value_law_is_recovered():
+    rng = np.random.default_rng(3)
+    lam, k, cells = 0.7, 0.02, []
+    for _ in range(4000):
+        n = int(rng.integers(20, 500))
+        s = (math.log(k * n) - math.log(-math.log(rng.random()))) / lam  # a Gumbel draw, censored at 0
+        cells.append((max(s, 0.0), n, 1))
+    got_lam, got_k = toxicity.extreme_value(cells)
+    assert abs(got_lam - lam) < 0.05 and abs(got_k - math.log(k)) < 0.2
+
+
+def test_calibration_rises_and_ranking_counts_pairs():
+    bins = {0: (1, 50), 3: (4, 10), 4: (2, 20), 9: (30, 2)}
+    points = toxicity.calibrate(bins)
+    assert [x for x, _ in points] == sorted(x for x, _ in points) and [y for _, y in points] == sorted(y for _, y in points)
+    assert toxicity.calibrate({0: (0, 5)}) == []
+    cells = [(1.0, 2, 3), (2.0, 1, 1), (1.0, 0, 1)]
+    toxic, clean = [1.0, 1.0, 2.0], [1.0] * 4 + [2.0]
+    assert abs(toxicity.ranking(cells) - sum((t > c) + (t == c) / 2 for t in toxic for c in clean) / 15) < 1e-12
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty tables, several labels, repeated rows, long texts, clashing columns."""
+    rng = random.Random(19)
+    texts = [prose(rng, 60) + (" scum idiot vile scum" if i % 5 == 0 else "") for i in range(300)]
+    docs = frame(spark, texts).withColumns({c: F.lit("x") for c in ("half", "unit", "score", "toxic_")})
+    labelled = docs.select("text", (F.col("doc_id") % 5 == 0).alias("toxic"))
+    scorer, points = toxicity.fit(labelled.unionByName(labelled.limit(40)))
+    odd = frame(spark, [None, "", prose(rng, 50000), prose(rng, 50000) + " scum idiot vile scum" * 3, "scum idiot vile", "scum idiot vile"])
+    got = {r["doc_id"]: r for r in toxicity.score(odd, scorer, points).collect()}
+    assert len(got) == 6 and got[0]["score"] == got[1]["score"] and got[4]["score"] == got[5]["score"]
+    assert [got[i]["predicted"] for i in range(6)] == [0, 0, 0, 1, 1, 1]
+    assert scorer.significant("a b scum idiot vile c")[0][:2] == (2, 5)
+    none = toxicity.fit(labelled.limit(0))
+    assert none[1] == [] and toxicity.score(odd.limit(0), *none).count() == 0
+
+
 # --- language model
 
 

@@ -42,14 +42,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let Spark remove the shuffle files of finished jobs."""
+    """Delete staged tables that nothing reads any more, if any, and let Spark remove the shuffle files of finished jobs."""
     for df in tables:
         spark, path = df.sparkSession, df.staged_at
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def unused(columns: list[str], name: str) -> str:
