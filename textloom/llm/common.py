@@ -51,6 +51,24 @@ def discard(*tables: DataFrame) -> None:
     SparkSession.getActiveSession()._jvm.System.gc()
 
 
+#: Bits (2 to this power) that tell which keys occur; as rows of 64 bits, half a million at most.
+KEY_BITS = 25
+
+
+def with_key_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """The rows of df whose key may occur in other: all that do, and few others while other has well under 2^KEY_BITS keys.
+
+    Before a join that shuffles wide rows this leaves most rows without a partner where they are. What is broadcast
+    has a fixed bound, whatever the size of other.
+    """
+    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    kind = df.schema[key].dataType
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_cell").bitwiseAND(F.lit(63)).cast("int"))
+    words = other.select(cell(F.col(other_key).cast(kind)).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = df.withColumn("_cell", cell(F.col(key))).join(F.broadcast(words), F.shiftright("_cell", 6) == F.col("_word"))
+    return found.filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_cell", "_word", "_bits")
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of ``columns`` has, whatever the case."""
     taken = {c.lower() for c in columns}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, staged, table
+from textloom.llm.common import discard, staged, table, with_key_in
 from textloom.llm.decontaminate import tokens
 
 MAX_LEXICON = 20_000
@@ -52,9 +52,28 @@ BINS = 200
 KNOWN_WORDS = 500_000
 
 
-def units(word: str) -> list[str]:
+class Cached(dict):
+    """A function's results by argument, emptied when full."""
+
+    def __init__(self, function, most: int = KNOWN_WORDS) -> None:
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.function(key)
+        return out
+
+
+def beginnings(word: str) -> tuple[str, ...]:
+    """The beginnings of a word, longest first."""
+    return tuple(word[:k] for k in range(min(MAX_PREFIX, len(word) - 1), MIN_PREFIX - 1, -1))
+
+
+def units(word: str) -> tuple[str, ...]:
     """The word itself (marked) and its beginnings, longest first."""
-    return ["=" + word, *(word[:k] for k in range(min(MAX_PREFIX, len(word) - 1), MIN_PREFIX - 1, -1))]
+    return ("=" + word, *beginnings(word))
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
@@ -62,27 +81,34 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     names = [f"{kind}{h}{c}" for kind in "td" for h in (0, 1) for c in (0, 1)]
 
     def run(batches):
-        counts: dict[str, list[int]] = {}
+        starts = Cached(beginnings)
+        # by half and class: tokens of words, texts of words, texts of beginnings
+        counts = [[Counter() for _ in range(3)] for _ in range(4)]
 
         def flush():
-            columns = list(zip(*counts.values())) or [()] * len(names)
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["unit", *names])
-            counts.clear()
-            return batch
+            rows: dict[str, list[int]] = {}
+            empty = [0] * len(names)
+            for at, (words, texts, parts) in enumerate(counts):
+                for kind, found, mark in ((0, words, "="), (4, texts, "="), (4, parts, "")):
+                    for u, n in found.items():
+                        rows.setdefault(mark + u, empty.copy())[kind + at] = n
+                for w, n in words.items():
+                    for u in starts[w]:
+                        rows[u][at] += n
+                for c in (words, texts, parts):
+                    c.clear()
+            columns = list(zip(*rows.values())) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["unit", *names])
 
         for batch in batches:
             for t, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
-                at, found = 2 * half + bool(toxic), Counter()
-                for word, n in Counter(tokens(t or "")).items():
-                    for u in units(word):
-                        found[u] += n
-                for u, n in found.items():
-                    row = counts.get(u)
-                    if row is None:
-                        row = counts[u] = [0] * len(names)
-                    row[at] += n
-                    row[4 + at] += 1
-                if len(counts) > FLUSH:
+                words, texts, parts = counts[2 * half + bool(toxic)]
+                found = tokens(t or "")
+                words.update(found)
+                found = set(found)
+                texts.update(found)
+                parts.update(set().union(*map(starts.__getitem__, found)))
+                if sum(len(x) + len(y) for _, x, y in counts) > FLUSH:
                     yield flush()
         yield flush()
 
@@ -153,24 +179,19 @@ class Scorer:
     """Scores texts with the log-odds of units and the extreme-value law (lam, log_k) of clean text."""
 
     def __init__(self, weights: dict[str, float], lam: float = 1.0, log_k: float = 0.0) -> None:
-        self.weights, self.lam, self.log_k, self.known = weights, lam, log_k, {}
+        self.weights, self.lam, self.log_k = weights, lam, log_k
+        self.known = Cached(self.weight)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+    def __reduce__(self):
+        return Scorer, (self.weights, self.lam, self.log_k)
 
     def weight(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            found = next((self.weights[u] for u in units(word) if u in self.weights), NEUTRAL)
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        return next((self.weights[u] for u in units(word) if u in self.weights), NEUTRAL)
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """(number of tokens, all maximal segments (first token, end, score))."""
         words = tokens(text)
-        return len(words), segments(np.fromiter(map(self.weight, words), float, len(words)))
+        return len(words), segments(np.fromiter(map(self.known.__getitem__, words), float, len(words)))
 
     def log_e(self, score: float, n: int) -> float:
         """log10 of the number of segments of this score expected in clean text of n tokens."""
@@ -240,12 +261,16 @@ def _best_cells(labelled: DataFrame, found: list[dict]) -> list[tuple]:
 
     def run(batches):
         scorers = [[Scorer(at_level(found[1 - half], level)) for level in LEVELS] for half in (0, 1)]
+        known = [Cached(lambda word, of=of: tuple(s.weight(word) for s in of)) for of in scorers]
         cells: dict[tuple, list[float]] = {}
         for batch in batches:
             for t, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, scorer in enumerate(scorers[half]):
-                    n, parts = scorer.passages(t or "")
-                    best = max((v for _, _, v in parts), default=0.0)
+                words = tokens(t or "")
+                n = len(words)
+                each = np.array(list(map(known[half].__getitem__, words))).reshape(n, len(LEVELS))
+                total = np.concatenate((np.zeros((1, len(LEVELS))), np.cumsum(each, axis=0)))
+                # the best segment ends where the running total is most above its least value so far
+                for k, best in enumerate((total - np.minimum.accumulate(total, axis=0)).max(axis=0).tolist()):
                     row = cells.setdefault((k, bool(toxic), bin_of(best), int(2 * math.log2(max(n, 1)))), [0.0, 0.0, 0])
                     row[0], row[1], row[2] = row[0] + best, row[1] + math.log(max(n, 1)), row[2] + 1
         columns = list(zip(*((*key, *row) for key, row in cells.items()))) or [()] * 7
@@ -336,7 +361,8 @@ def op1_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     marks = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") == 1).alias("toxic"))
-    labelled = docs.filter("not held_out").join(marks, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    train = with_key_in(docs.filter("not held_out"), "doc_id", marks, "label_id")
+    labelled = train.join(marks.hint("merge"), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
     scorer, points = fit(labelled)
     return score(docs, scorer, points, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
