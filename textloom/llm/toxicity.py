@@ -78,7 +78,6 @@ def units(word: str) -> tuple[str, ...]:
 
 def token_counts(labelled: DataFrame) -> DataFrame:
     """(unit, and for half h and class c: tokens t<h><c> and texts d<h><c>) of rows (text, toxic, half)."""
-    names = [f"{kind}{h}{c}" for kind in "td" for h in (0, 1) for c in (0, 1)]
 
     def run(batches):
         starts = Cached(beginnings)
@@ -86,19 +85,15 @@ def token_counts(labelled: DataFrame) -> DataFrame:
         counts = [[Counter() for _ in range(3)] for _ in range(4)]
 
         def flush():
-            rows: dict[str, list[int]] = {}
-            empty = [0] * len(names)
             for at, (words, texts, parts) in enumerate(counts):
-                for kind, found, mark in ((0, words, "="), (4, texts, "="), (4, parts, "")):
-                    for u, n in found.items():
-                        rows.setdefault(mark + u, empty.copy())[kind + at] = n
+                within = dict.fromkeys(parts, 0)
                 for w, n in words.items():
                     for u in starts[w]:
-                        rows[u][at] += n
+                        within[u] += n
+                columns = ["=" + w for w in words] + list(within), [*words.values(), *within.values()], [*(texts[w] for w in words), *parts.values()]
                 for c in (words, texts, parts):
                     c.clear()
-            columns = list(zip(*rows.values())) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["unit", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array([at] * len(columns[0]), pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["unit", "at", "t", "d"])
 
         for batch in batches:
             for t, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
@@ -109,11 +104,12 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                 texts.update(found)
                 parts.update(set().union(*map(starts.__getitem__, found)))
                 if sum(len(x) + len(y) for _, x, y in counts) > FLUSH:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
-    parts = labelled.select("text", "toxic", "half").mapInArrow(run, "unit string, " + ", ".join(f"{n} long" for n in names))
-    return parts.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
+    parts = labelled.select("text", "toxic", "half").mapInArrow(run, "unit string, at int, t long, d long")
+    of = lambda kind, at: F.sum(F.when(F.col("at") == at, F.col(kind)).otherwise(0))
+    return parts.groupBy("unit").agg(*(of(kind, 2 * h + c).alias(f"{kind}{h}{c}") for kind in "td" for h in (0, 1) for c in (0, 1)))
 
 
 def _rated(toxic, clean, d_toxic, d_clean, sizes: tuple[float, float, float, float]):
