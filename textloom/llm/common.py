@@ -63,6 +63,7 @@ def with_key_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> Da
     """
     cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
     kind = df.schema[key].dataType
+    assert not {"_cell", "_word", "_bits"} & set(df.columns)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_cell").bitwiseAND(F.lit(63)).cast("int"))
     words = other.select(cell(F.col(other_key).cast(kind)).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     found = df.withColumn("_cell", cell(F.col(key))).join(F.broadcast(words), F.shiftright("_cell", 6) == F.col("_word"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, row_hash, staged, table, unused
+from textloom.llm.common import discard, row_hash, staged, table, unused, with_key_in
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 2
@@ -242,18 +242,30 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 def _crowds(docs: DataFrame, text: str) -> np.ndarray:
     """In how many texts each cell of shingle hashes occurs: a table of fixed size, which only sets an order."""
 
-    def run(batches):
-        cells = np.zeros(1 << ORDER_BITS, np.int64)
+    size = 1 << 10
+
+    def count(batches):
+        cells = np.zeros(1 << ORDER_BITS, np.uint32)
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()):
                 cells[_cells(shingle_set(_mixed(t.as_py() or b"")))] += 1
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+        parts = cells.reshape(-1, size)
+        at = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["block", "cells"])
 
-    found = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(x.as_py(), "<u4")
+                sums[k] = sums[k] + found if k in sums else found.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "cells"])
+
+    found = docs.select(text).mapInArrow(count, "block int, cells binary").repartition("block").mapInArrow(add, "block int, cells binary").toArrow()
+    out = np.zeros((1 << ORDER_BITS) // size * size, np.int64).reshape(-1, size)
+    for k, x in zip(found["block"].to_pylist(), found["cells"].to_pylist()):
+        out[k] = np.frombuffer(x, "<i8")
+    return out.reshape(-1)
 
 
 def prefix_keys(shingles: np.ndarray, crowds: np.ndarray) -> np.ndarray:
@@ -289,7 +301,7 @@ def difference_keys(hub: np.ndarray, other: np.ndarray, crowds: np.ndarray) -> t
 
 
 def _described(docs: DataFrame, text: str, shared) -> DataFrame:
-    """(row, node, fp, size, central, keys) of each row of (row, text); node identifies the sequence of words."""
+    """(row, node, fp, size, central, crowd, keys) of each row of (row, text); node identifies the sequence of words, crowd is of the last key's cell."""
     import xxhash
 
     kind = docs.schema["row"].dataType.simpleString()
@@ -303,27 +315,45 @@ def _described(docs: DataFrame, text: str, shared) -> DataFrame:
                 same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)
                 keys = prefix_keys(parts, shared.value)
                 central = float(np.log2(shared.value[_cells(keys)]).mean()) if len(keys) else 0.0
-                found.append((same, fingerprint(t), len(parts), central, keys.view(np.int64)))
-            node, fp, size, central, keys = zip(*found) if found else ((), (), (), (), ())
+                crowd = int(shared.value[_cells(keys[-1:])][0]) if len(keys) else 0
+                found.append((same, fingerprint(t), len(parts), central, crowd, keys.view(np.int64)))
+            node, fp, size, central, crowd, keys = zip(*found) if found else [()] * 6
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int32()), pa.array(central, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "central", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(size, pa.int32()), pa.array(central, pa.float32()), pa.array(crowd, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "fp", "size", "central", "crowd", "keys"])
 
-    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size int, central float, keys array<long>")
+    return docs.select("row", text).mapInArrow(run, f"row {kind}, node long, fp long, size int, central float, crowd long, keys array<long>")
 
 
-def _bucket_pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a part and may be similar, from rows (part, node, size, at, length, linked).
+def _bucket_rows(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a part and whose sizes allow it, from rows (part, node, size, at, length, linked),
+    with fits: whether they may be similar if this part is the first that they share.
 
     length counts the elements that the keys were taken from, at is a key's rank among them. At the first key that two nodes
-    share, none of the elements before is common, which bounds their overlap; a pair below the bound there is not similar.
+    share, none of the elements before is common, which bounds their overlap.
     """
     cols = ("part", "node", "size", "at", "length", "linked")
     a, b = (keyed.select(*(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
     alike = (F.col("size_a") >= SIMILARITY * F.col("size_b")) & (F.col("size_b") >= SIMILARITY * F.col("size_a"))
     left = F.least(F.col("length_a") - F.col("at_a"), F.col("length_b") - F.col("at_b"))
     need = (F.col("length_a") + F.col("length_b") - (F.col("size_a") + F.col("size_b")) / 9) / 2
-    pairs = a.join(b.hint("merge"), (F.col("part_a") == F.col("part_b")) & (F.col("node_a") < F.col("node_b")) & alike & (left >= need - 1e-6) & ~(F.col("linked_a") & F.col("linked_b")))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = a.join(b.hint("merge"), (F.col("part_a") == F.col("part_b")) & (F.col("node_a") < F.col("node_b")) & alike & ~(F.col("linked_a") & F.col("linked_b")))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (left >= need - 1e-6).alias("fits"))
+
+
+def _prefix_pairs(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar, from the parts of their prefixes that are not hot.
+
+    Of two prefixes let z be the one that ends first in the order. All keys of z that the other has at all are in the other's
+    prefix too, so the overlap is at most the keys shared plus what z has beyond its prefix.
+    """
+    shared = _bucket_rows(keyed.filter("not hot")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.bool_or("fits").alias("fits")).filter("fits")
+    hot = keyed.filter("hot").groupBy("node").agg(F.count("*").alias("hot"))
+    beyond = F.col("size") - F.size("keys")
+    ends = nodes.select("node", "size", beyond.alias("beyond"), F.struct("crowd", F.try_element_at("keys", F.lit(-1)).bitwiseXOR(F.lit(-(1 << 63))).alias("key")).alias("last")).join(hot, "node", "left")
+    side = lambda s: ends.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("beyond").alias(f"beyond_{s}"), F.col("last").alias(f"last_{s}"), F.coalesce("hot", F.lit(0)).alias(f"hot_{s}"))
+    both = shared.join(side("a"), "a").join(side("b"), "b")
+    most = F.col("shared") + F.least("hot_a", "hot_b") + F.when(F.col("last_a") <= F.col("last_b"), F.col("beyond_a")).otherwise(F.col("beyond_b"))
+    return both.filter(most >= 4 * (F.col("size_a") + F.col("size_b")) / 9 - 1e-6).select("a", "b")
 
 
 def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -374,30 +404,38 @@ def _compared(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
     return both.select("a", "b", "hub", "x", "y").mapInArrow(run, "a long, b long, hub boolean, linked boolean, length int, keys array<long>")
 
 
-def _crowded(keyed: DataFrame, hot_bucket: int) -> DataFrame:
-    """keyed without the parts of one node, with n: how many rows its part has."""
-    counts = keyed.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    return staged(keyed.join(counts, "part").withColumn("hot", F.col("n") > hot_bucket).drop("n"), "similar-keys")
+def _crowded(posted: DataFrame, hot_bucket: int) -> DataFrame:
+    """posted without the parts of one row, with hot: whether over hot_bucket rows share the part."""
+    counts = posted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = staged(counts.select("part", (F.col("n") > hot_bucket).alias("hot")), "similar-parts")
+    discard()
+    return with_key_in(posted, "part", counts, "part").join(counts, "part")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shared, hot_bucket: int) -> DataFrame:
-    """Links (a, b) of nodes (node, size, central, keys): every pair of a similarity of 0.8 or more is linked, or joined by other links.
+    """Links (a, b) of nodes (node, size, central, crowd, keys): every pair of a similarity of 0.8 or more is linked, or joined by other links.
 
     Keys are the prefixes of the shingle sets. Buckets of up to hot_bucket nodes list their pairs that pass the
     size and position bounds. In a more crowded one, all are held against the hub
     (the node whose keys are the most common) and get new keys from their difference to it, which is exact
     (difference_keys), until no bucket is crowded or the depth is used up.
     """
-    posted = nodes.select("node", "size", "central", F.col("size").alias("length"), F.lit(False).alias("linked"), F.posexplode("keys").alias("at", "part"))
+    posted = nodes.select("node", F.posexplode("keys").alias("at", "part"))
     edges, sets, done = [], None, []
     for depth in range(SPLIT_DEPTH + 1):
-        keyed = _crowded(posted, hot_bucket if depth < SPLIT_DEPTH else 1 << 62)
+        if depth == 0:
+            keyed = _crowded(posted, hot_bucket).join(nodes.select("node", "size", "central", F.col("size").alias("length"), F.lit(False).alias("linked")), "node")
+            keyed = staged(keyed, "similar-keys")
+            pairs = _prefix_pairs(keyed, nodes)
+        else:  # keys of differences leave few pairs within their bounds, so larger buckets are listed
+            keyed = staged(_crowded(posted, hot_bucket * 32 if depth < SPLIT_DEPTH else 1 << 62), "similar-keys")
+            pairs = _bucket_rows(keyed.filter("not hot")).filter("fits").select("a", "b").distinct()
         hot = keyed.filter("hot")
         hubs = hot.groupBy("part").agg(F.max_by("node", F.struct("central", "node")).alias("a"))
         hubs = hot.join(hubs, "part").filter("node <> a").select("a", F.col("node").alias("b"), "size", "central").distinct()
-        pairs = _bucket_pairs(keyed.filter("not hot"))
         asks = [pairs.select("a", "b", F.lit(False).alias("hub"), F.lit(0).alias("size"), F.lit(0.0).cast("float").alias("central")), hubs.select("a", "b", F.lit(True).alias("hub"), "size", "central")]
         asks = staged(asks[0].unionByName(asks[1]), "similar-pairs")
+        discard()
         if sets is None:  # nodes of later rounds are among these
             asked = asks.select(F.col("a").alias("node")).unionByName(asks.select(F.col("b").alias("node"))).distinct()
             sets = staged(_sets(docs, staged(asked, "similar-asked")), "similar-sets")
@@ -422,7 +460,7 @@ def similar_groups(docs: DataFrame, hot_bucket: int = HOT_PART) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(_crowds(docs, "text"))
     base = staged(_described(docs, "text", shared), "similar")
-    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "central", "keys")))
+    nodes = base.groupBy("node").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "central", "crowd", "keys")))
     nodes = staged(nodes, "similar-nodes")
     fps = staged(nodes.groupBy("fp").agg(F.min("node").alias("of")), "similar-fps")
     ends = near_pairs(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("of").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("of").alias("v")), "b")
