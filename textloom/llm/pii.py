@@ -2,18 +2,22 @@
 
 High-recall generators propose spans that may overlap: the base patterns (email, ip, card, phone) and
 wider ones (addresses with "(at)" and "[dot]", bracketed dots, card groups with other separators,
-phone numbers without a plus sign). A small gradient-boosted ensemble of depth-two trees scores each
-candidate by format and context features. It learns from all base-pattern candidates of the corpus,
-whose checks (checksum, part range, digit count) are the labels; the features are small numbers, so
-training needs only their counts (bounded by MAX_CELLS rows, whatever the corpus's size). Per kind, the
-threshold is the lowest score at which the candidates of the other half of the corpus, by hash, reach
-PRECISION. Base spans that pass their check always stay; the model adds others that overlap none.
+phone numbers without a plus sign). A gradient-boosted ensemble of depth-two trees scores each candidate by
+format and context features. It learns from three kinds of rows: base candidates, labelled by their check; base spans of the
+corpus rewritten in a disguise inside their own context (planted), which are positive; and wide candidates as they occur,
+positive where they overlap a base span that passes, else negative. A wide candidate's own check is a feature only.
+The features are small numbers, so training needs only their counts (at most MAX_CELLS rows, whatever the corpus's
+size). Per kind, the threshold is the lowest score at which, on the half of the spans (by a hash) that the trees
+did not see, PRECISION of the planted and free wide candidates above it are planted; free ones as they occur count as false,
+so precision is understated where they are real. A kind without such a score adds nothing. Base spans that pass
+their check always stay; the model adds wide ones that overlap none.
 
 No Python runs on the executors. The patterns use possessive repeats, so the matcher neither recurses
-nor backtracks over long runs.
+nor backtracks over long runs. redact() looks for candidates twice (to learn, and to rewrite): storing them beside the
+texts between would leave a copy of the corpus behind.
 
-Defined cases: null text is empty and has no spans; repeated rows each give a row; texts of any length
-are read whole. Only id and text are read, so other columns can't clash.
+Defined cases: null text is empty and has no spans; a corpus without spans adds none; repeated rows each give a row;
+texts of any length are read whole. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import let, staged, table, text_column
+from textloom.llm.common import discard, let, staged, table, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -47,11 +51,11 @@ CONTEXT = r"(?i)(?:mail|tel|phone|call|fax|fon|card|visa|iban|ip|host|contact|ad
 CONTEXT_CHARS = 24
 MAX_CELLS = 100_000
 ROUNDS, RATE, RIDGE = 24, 0.4, 1.0
-PRECISION = 0.95
+PRECISION = 0.9
 BLOCK = 256
 
-SPAN = "struct<kind:int,start:int,stop:int,wide:int,label:boolean,f:struct<digits:int,valid:int,plus:int,paren:int,seps:int,context:int>,fold:int>"
-FEATURES = {"kind": range(1, 4), "digits": range(1, 21), "valid": (1,), "plus": (1,), "paren": (1,), "seps": range(1, 6), "context": (1,)}
+SPAN = "struct<kind:int,start:int,stop:int,wide:int,passes:boolean,f:struct<digits:int,valid:int,plus:int,paren:int,seps:int,context:int,around:int,joined:int>,fold:int>"
+FEATURES = {"kind": range(1, 4), "wide": (1,), "digits": range(1, 21), "valid": (1,), "plus": (1,), "paren": (1,), "seps": range(1, 6), "context": (1,), "around": range(1, 6), "joined": (1,)}
 
 
 def prefix_sums(values: Column) -> Column:
@@ -112,8 +116,10 @@ def _spans(text: Column, kind: str, wide: bool) -> Column:
 
     def one(x: Column) -> Column:
         m = x["m"]
-        label, right = passes(kind, m)
+        passed, right = passes(kind, m)
         before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)))
+        after = F.substring(text, x["stop"] + 1, F.lit(CONTEXT_CHARS))
+        near = F.length(F.regexp_replace(F.concat(before, after), "[^0-9]", ""))
         features = F.struct(
             F.least(F.length(F.regexp_replace(m, "[^0-9]", "")), F.lit(20)).cast("int").alias("digits"),
             right.cast("int").alias("valid"),
@@ -121,8 +127,10 @@ def _spans(text: Column, kind: str, wide: bool) -> Column:
             m.contains("(").cast("int").alias("paren"),
             F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9+]", "")), F.lit(5)).cast("int").alias("seps"),
             before.rlike(CONTEXT).cast("int").alias("context"),
+            F.least(F.ceil(near / 4), F.lit(5)).cast("int").alias("around"),
+            (before.rlike(r"[A-Za-z0-9_/=-]\z") | after.rlike(r"\A[A-Za-z0-9_/=-]")).cast("int").alias("joined"),
         )
-        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(int(wide)).alias("wide"), label.alias("label"), features.alias("f"), (F.crc32(m) % 2).cast("int").alias("fold"))
+        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(int(wide)).alias("wide"), passed.alias("passes"), features.alias("f"), (F.crc32(m) % 2).cast("int").alias("fold"))
 
     pattern, needs = (WIDE if wide else BASE)[kind], (WIDE_NEEDS if wide else NEEDS)[kind]
     return F.when(text.rlike(needs), F.transform(matched(text, pattern), one)).otherwise(F.array()).cast(f"array<{SPAN}>")
@@ -133,6 +141,39 @@ def candidates(text: Column) -> Column:
     return let(text_column(text), lambda t: F.concat(*(_spans(t, k, w) for w in (False, True) for k in KINDS)))
 
 
+def disguised(m: Column, kind: Column) -> Column:
+    """A base span in one of three other spellings, by its hash."""
+    way = F.crc32(F.concat(m, F.lit("#"))) % 3
+    pick = lambda a, b, c: F.when(way == 0, a).when(way == 1, b).otherwise(c)
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    dots = lambda x: F.replace(domain, F.lit("."), F.lit(x))
+    email = pick(F.concat(local, F.lit(" (at) "), domain), F.concat(local, F.lit("[at]"), dots("[dot]")), F.concat(local, F.lit(" [AT] "), dots(" (dot) ")))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    group = lambda sep: F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{sep}")
+    ip = pick(F.replace(m, F.lit("."), F.lit("[.]")), F.replace(m, F.lit("."), F.lit("(.)")), F.replace(m, F.lit("."), F.lit("[.]")))
+    phone = pick(F.regexp_replace(m, r"\A\+", "00"), F.regexp_replace(m, r"\A\+", "00 "), F.regexp_replace(m, r"\A\+[0-9]{1,3}[ .-]?", ""))
+    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, pick(group("."), group("/"), group("_"))).otherwise(phone)
+
+
+def planted(text: Column, spans: Column) -> Column:
+    """For each base span that passes: its context with the span disguised, where that stands, its kind and fold."""
+    t = text_column(text)
+
+    def one(s: Column) -> Column:
+        before = F.substring(t, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
+        new = disguised(F.substring(t, s["start"] + 1, s["stop"] - s["start"]), s["kind"])
+        snippet = F.concat(before, new, F.substring(t, s["stop"] + 1, F.lit(CONTEXT_CHARS)))
+        return F.struct(snippet.alias("snippet"), F.length(before).alias("start"), (F.length(before) + F.length(new)).alias("stop"), s["kind"].alias("kind"), s["fold"].alias("fold"))
+
+    return F.transform(F.filter(spans, lambda s: (s["wide"] == 0) & s["passes"]), one)
+
+
+def described(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """``keep``, all candidate spans of each row and the planted ones, written to the shared folder."""
+    found = docs.select(*keep, let(candidates(F.col(text)), lambda c: F.struct(c.alias("spans"), planted(F.col(text), c).alias("plants"))).alias("_f"))
+    return staged(found.select(*keep, "_f.spans", "_f.plants"), "pii")
+
+
 class Boosted:
     """Newton-boosted trees of depth two over small-number features, fitted to counts."""
 
@@ -173,7 +214,7 @@ class Boosted:
         return tree
 
     def value(self, x: dict[str, int]) -> float:
-        return self.start + sum(self._leaf(t, x) for t in self.trees)
+        return reduce(lambda a, t: a + self._leaf(t, x), self.trees, self.start)  # in the order of column()
 
     def column(self, feature: Callable[[str], Column]) -> Column:
         def of(tree) -> Column:
@@ -184,35 +225,53 @@ class Boosted:
         return reduce(lambda a, t: a + of(t), self.trees, F.lit(float(self.start)))
 
 
-def fit(spans: DataFrame) -> tuple[Boosted, dict[str, float]]:
-    """The ensemble and each kind's threshold, from a column ``spans`` of candidates."""
-    one = spans.select(F.explode("spans").alias("s")).filter("s.wide = 0").select("s.kind", "s.f.*", "s.label", "s.fold")
+def apart(s: Column, o: Column) -> Column:
+    return (s["stop"] <= o["start"]) | (o["stop"] <= s["start"])
+
+
+def examples(found: DataFrame) -> DataFrame:
+    """(features, label, fold, free) of all candidates of rows (spans, plants); free ones are wide and overlap no base span."""
+    names = [n for n in FEATURES if n not in ("kind", "wide")]
+
+    def labelled(spans: Column) -> Column:
+        base = F.filter(spans, lambda s: (s["wide"] == 0) & s["passes"])
+        return let(base, lambda b: F.transform(spans, lambda s: F.struct(s.alias("s"), F.when(s["wide"] == 0, s["passes"]).otherwise(F.exists(b, lambda o: ~apart(s, o))).alias("label"))))
+
+    flat = [F.col("e.s.kind"), F.col("e.s.wide"), *(F.col(f"e.s.f.{n}") for n in names), F.col("e.label")]
+    natural = found.filter("size(spans) > 0").select(F.explode(labelled(F.col("spans"))).alias("e"))
+    natural = natural.select(*flat, F.col("e.s.fold"), ((F.col("e.s.wide") == 1) & ~F.col("e.label")).alias("free"))
+    plants = found.filter("size(plants) > 0").select(F.explode("plants").alias("p"))
+    hits = F.filter(candidates(F.col("p.snippet")), lambda s: (s["wide"] == 1) & (s["kind"] == F.col("p.kind")) & ~apart(s, F.col("p")))
+    made = plants.select("p.fold", F.explode(hits).alias("s")).select(F.struct("s", F.lit(True).alias("label")).alias("e"), "fold")
+    return natural.unionByName(made.select(*flat, "fold", F.lit(True).alias("free")))
+
+
+def fit(found: DataFrame) -> tuple[Boosted, dict[str, float]]:
+    """The ensemble and the threshold of each kind that has one, from rows (spans, plants)."""
+    one = examples(found)
     rows = one.groupBy(*one.columns).count().limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError("more feature cells than the features allow")
-    of = lambda fold: [({f: r[f] for f in FEATURES}, r["label"], r["count"]) for r in sorted(rows) if r["fold"] == fold]
-    model, thresholds = Boosted(of(0)), {}
+    of = lambda keep: [({f: r[f] for f in FEATURES}, r["label"], r["count"]) for r in sorted(rows) if keep(r)]
+    model, thresholds = Boosted(of(lambda r: r["fold"] == 0)), {}
     for k, kind in enumerate(KINDS):
-        seen = sorted(((model.value(x), y, n) for x, y, n in of(1) if x["kind"] == k), key=lambda v: -v[0])
+        seen = sorted(((model.value(x), y, n) for x, y, n in of(lambda r: r["fold"] == 1 and r["free"] and r["kind"] == k)), key=lambda v: -v[0])
         hits = total = 0
-        thresholds[kind] = 0.0
         for i, (value, y, n) in enumerate(seen):
             hits, total = hits + n * y, total + n
             if (i + 1 == len(seen) or seen[i + 1][0] < value) and hits >= PRECISION * total:
-                thresholds[kind] = max(0.0, value)
+                thresholds[kind] = value
     return model, thresholds
 
 
 def selected(spans: Column, model: Boosted, thresholds: dict[str, float]) -> Column:
     """The spans that stay: base ones that pass, and wide ones the model takes that overlap no other."""
-    base = F.filter(spans, lambda s: (s["wide"] == 0) & s["label"])
+    base = F.filter(spans, lambda s: (s["wide"] == 0) & s["passes"])
 
     def takes(s: Column) -> Column:
-        value = model.column(lambda f: s["kind"] if f == "kind" else s["f"][f])
-        least = reduce(lambda a, k: F.when(s["kind"] == k[0], F.lit(k[1])).otherwise(a), enumerate(thresholds[k] for k in KINDS), F.lit(0.0))
-        return (s["wide"] == 1) & s["label"] & (value >= least)
-
-    apart = lambda s, o: (s["stop"] <= o["start"]) | (o["stop"] <= s["start"])
+        value = model.column(lambda f: s[f] if f in ("kind", "wide") else s["f"][f])
+        least = reduce(lambda a, k: F.when(s["kind"] == KINDS.index(k), F.lit(thresholds[k])).otherwise(a), thresholds, F.lit(float("inf")))
+        return (s["wide"] == 1) & (value >= least)
 
     def join(b: Column) -> Column:
         free = F.filter(spans, lambda s: takes(s) & ~F.exists(b, lambda o: ~apart(s, o)))
@@ -256,18 +315,19 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in ``text`` replaced; all other columns stay. Null texts stay null."""
-    found = staged(docs.select(candidates(F.col(text)).alias("spans")).filter("size(spans) > 0"), "pii")
+    found = described(docs, text)
     model, thresholds = fit(found)
+    discard(found)
     new = let(candidates(F.col(text)), lambda c: F.when(F.size(c) == 0, F.col(text)).otherwise(let(selected(c, model, thresholds), lambda s: redacted(F.col(text), s))))
     return docs.withColumn(text, new)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = staged(docs.select("doc_id", candidates(F.col("text")).alias("spans")), "pii")
+    found = described(docs, "text", "doc_id")
     model, thresholds = fit(found)
-    base = F.filter("spans", lambda s: (s["wide"] == 0) & s["label"])
-    count = lambda k: F.size(F.filter("spans", lambda s: (s["wide"] == 0) & s["label"] & (s["kind"] == k))).cast("long")
+    base = F.filter("spans", lambda s: (s["wide"] == 0) & s["passes"])
+    count = lambda k: F.size(F.filter("spans", lambda s: (s["wide"] == 0) & s["passes"] & (s["kind"] == k))).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(listing(base), 256).alias("base_sha256"), listing(selected(F.col("spans"), model, thresholds)).alias("spans"))
 
 
