@@ -765,3 +765,64 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == set(texts)
     assert not any(_spans(t) for t in texts.values())
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+# --- block rules
+
+
+def test_pages_without_article_tags_give_the_same_text():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    hits = total = 0
+    for page in rows:
+        a, b = (collections.Counter(html_text.main_text(x).split("\n\n")) for x in (page or "", re.sub(r"</?(?:article|main)\b[^>]*>", "", page or "")))
+        hits, total = hits + 2 * (a & b).total(), total + a.total() + b.total()
+    assert hits >= 0.95 * total
+
+
+def test_second_pass_matches_brute_force():
+    rng = random.Random(31)
+    texts = {"good": "the of and to a " * 20, "near": "the of one two three four five six seven eight " * 3, "poor": "zig zag " * 30, "short": "zig zag", "bad": "link link " * 10}
+
+    def brute(found):
+        labels = [html_text.first_pass(b, any(x.inside for x in found)) for b in found]
+        for weak in ("near", "poor", "short"):
+            labels = labels if "good" in labels else ["good" if x == weak else x for x in labels]
+        out = []
+        for k, x in enumerate(labels):
+            left = [j for j in range(k, -1, -1) if labels[j] in ("good", "bad")][:1]
+            right = [j for j in range(k, len(labels)) if labels[j] in ("good", "bad")][:1]
+            sides = left + right
+            if not sides or len({labels[j] for j in sides}) == 1:
+                out.append(bool(sides) and labels[sides[0]] == "good")
+                continue
+            default = labels[sides[1]] if found[k].heading else "good" if x == "near" else "bad"
+            ranked = sorted(sides, key=lambda j: (found[j].parent != found[k].parent, abs(j - k), labels[j] != default))
+            out.append(labels[ranked[0]] == "good")
+        return out
+
+    for _ in range(400):
+        found = []
+        for _ in range(rng.randint(0, 9)):
+            kind = rng.choice(list(texts))
+            t = texts[kind].strip()
+            found.append(html_text.Block(t, len(t) if kind == "bad" else 0, rng.random() < 0.1, False, rng.random() < 0.2, rng.randint(0, 2)))
+        if rng.random() < 0.3:
+            for b in found[1:4]:
+                b.inside = True
+        assert html_text.classify(found) == brute(found)
+
+
+def test_odd_markup_is_read_in_linear_time(spark):
+    import time
+
+    pages = ["<a" * 300000, '<a "' * 100001 + ">", '<a ">" ' * 100000, "<b>" * 100000 + "</i>" * 100000, "<!--" * 100000, "<" * 500000, "<p class='" * 100000 + ">", "x" * 2000000]
+    began = time.time()
+    for page in pages:
+        html_text.main_text(page)
+    assert time.time() - began < 20
+    assert html_text.main_text('<p title="a>b">the of and</p><!-- <p>no</p> --><p>to &amp; a') == "the of and\n\nto & a"
+    docs = spark.createDataFrame([(1, "u", None, "x", 5), (1, "u", "", "x", 5), (2, "u", pages[-1], "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted((r["page_id"], r["n_chars"]) for r in html_text.extract(docs).collect()) == [(1, 0), (1, 0), (2, 2000000)]
+    assert html_text.extract(docs.limit(0)).count() == 0

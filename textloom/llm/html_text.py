@@ -1,14 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 The markup is cut into blocks at block-level tags. Pass 1 classes each block by length, link density
-and stop-word density as good, bad, short or near-good; blocks inside containers that never hold the
-article (navigation, header, footer, sidebar, notice, advert, form, comments, ...) are bad. Pass 2
-gives short and near-good blocks the class of the nearest decided neighbours. Where a page marks its
-article (article or main element), blocks in it count as decided: good unless bad by container or
-links, and blocks outside it are bad.
+and stop-word density as good, near-good, poor (long, with few stop words), short or bad. Blocks inside containers that
+never hold the article (navigation, header, footer, sidebar, notice, advert, form, comments, ...) are bad, and so are
+blocks of links. An article or main element is a feature only: inside one a short block is short though it has links, and
+outside, where the page has one, good becomes near-good and the others become bad.
+Pass 2 gives near-good, poor and short blocks the class of their nearest decided neighbours (good or bad): of two
+unlike ones, that with the same parent element, else the closer one, else the one after for a heading, the good one
+for near-good blocks and the bad one for the others. On a page without any good block the near-good ones are good,
+without those the poor ones, without those the short ones.
+
+Tags are found in linear time: once a quoted attribute is found to have no end, later tags end at their first ">".
 
 Defined cases: null html is empty and gives an empty text; unclosed tags end with their parent or
-page; pages without any good block give an empty text; repeated rows each give a row.
+page; pages without any good block give an empty text; repeated rows each give a row; pages of any length are
+read whole; only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +38,12 @@ STOPWORDS = frozenset(
     "le la les de des un une et est en que qui dans pour pas sur au il elle ce avec "
     "el los las del y es por con una para se no su al lo como más".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_START = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/]")
+_QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN = re.compile(r"([^>]*)>")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Blocks whose text belongs to the element around them.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary address".split())
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "math", "object", "canvas", "select")}
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,17 +74,40 @@ def _bad_element(name: str, attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "links", "bad", "inside", "heading")
+    __slots__ = ("text", "links", "bad", "inside", "heading", "parent")
+
+    def __init__(self, text: str, links: int, bad: bool, inside: bool, heading: bool, parent: int = 0) -> None:
+        self.text, self.links, self.bad, self.inside, self.heading, self.parent = text, links, bad, inside, heading, parent
+
 
-    def __init__(self, text: str, links: int, bad: bool, inside: bool, heading: bool) -> None:
-        self.text, self.links, self.bad, self.inside, self.heading = text, links, bad, inside, heading
+def markup(page: str):
+    """The tags of a page in order: (start, end, "/" or "", lower-case name or None for comments and the like, attributes)."""
+    at, n, last, quoted = 0, len(page), page.rfind(">"), True
+    while True:
+        m = _START.search(page, at)
+        if m is None or (m[0] != "<!--" and m.end() > last):
+            return
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = n if end < 0 else end + 3
+            yield m.start(), at, "", None, ""
+            continue
+        found = _QUOTED.match(page, m.end()) if quoted and m[2] else None
+        if found is None:
+            quoted = quoted and not m[2]
+            found = _PLAIN.match(page, m.end())
+        at = found.end()
+        new = yield m.start(), at, m[1] or "", m[2] and m[2].lower(), found[1] if m[2] else ""
+        at = new or at
 
 
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, bad, article
-    bad = inside = link = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, bad, article, container
+    open_: dict[str, int] = {}
+    parents = [0]
+    bad = inside = link = made = 0
     heading = False
     parts: list[tuple[str, bool]] = []
 
@@ -82,117 +116,128 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html_lib.unescape("".join(p for p, _ in parts))).strip()
             if text:
                 links = sum(len(p) for p, linked in parts if linked)
-                out.append(Block(text, min(links, len(text)), bad > 0, inside > 0, heading))
+                out.append(Block(text, min(links, len(text)), bad > 0, inside > 0, heading, parents[-1]))
             parts.clear()
 
     def close(k: int) -> None:
         nonlocal bad, inside
-        for name, b, a in stack[k:]:
+        for name, b, a, container in reversed(stack[k:]):
             bad -= b
             inside -= a
+            open_[name] -= 1
+            if container:
+                parents.pop()
         del stack[k:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            parts.append((page[at:], link > 0))
-            break
-        if m.start() > at:
-            parts.append((page[at : m.start()], link > 0))
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:  # an end tag
+    def ended(name: str, through: tuple[str, ...] | None = None) -> None:
+        """Close the innermost open element of this name, unless others than ``through`` stand between."""
+        if open_.get(name):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    close(k)
+                    return
+                if through is not None and stack[k][0] not in through:
+                    return
+
+    at, tags = 0, markup(page)
+    tag = next(tags, None)
+    while tag is not None:
+        start, end, slash, name, attributes = tag
+        if start > at:
+            parts.append((page[at:start], link > 0))
+        at = end
+        if name is None:
+            pass
+        elif slash:
             if name == "a":
                 link = 0
             elif name in _BLOCKS:
                 flush()
                 heading = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            continue
-        if name in _RAW:
-            if not m[3].endswith("/"):
-                end = _RAW[name].search(page, at)
-                at = end.end() if end else n
-            parts.append((" ", False)) if name not in ("title", "script", "style") else None
-            continue
-        if name == "br":
-            parts.append((" ", link > 0))
-        elif name == "a":
-            link = 1
-        elif name in _BLOCKS:
-            flush()
-            heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th"):
-                # a new one ends an open one of its kind, if no other container stands between
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if stack[k][0] not in ("b", "i", "em", "strong", "span", "a", "u", "font", "p"):
-                        break
-        if name not in _VOID and not m[3].endswith("/"):
-            b, a = _bad_element(name, m[3]), name in ("article", "main")
-            if b and bad == 0 and name not in _BLOCKS:
-                flush() if parts else None
-            stack.append((name, b, a))
-            bad += b
-            inside += a
+            ended(name)
+        elif name in _RAW:
+            if not attributes.endswith("/"):
+                close_tag = _RAW[name].search(page, at)
+                at = close_tag.end() if close_tag else len(page)
+            if name not in ("title", "script", "style"):
+                parts.append((" ", False))
+        else:
+            if name == "br":
+                parts.append((" ", link > 0))
+            elif name == "a":
+                link = 1
+            elif name in _BLOCKS:
+                flush()
+                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                if name in ("p", "li", "dt", "dd", "tr", "td", "th"):
+                    # a new one ends an open one of its kind, if no other container stands between
+                    ended(name, ("b", "i", "em", "strong", "span", "a", "u", "font", "p"))
+            if name not in _VOID and not attributes.endswith("/"):
+                b, a = _bad_element(name, attributes), name in ("article", "main")
+                if b and bad == 0 and name not in _BLOCKS:
+                    flush()
+                container = name in _BLOCKS and name not in _LEAVES
+                stack.append((name, b, a, container))
+                open_[name] = open_.get(name, 0) + 1
+                if container:
+                    made += 1
+                    parents.append(made)
+                bad += b
+                inside += a
+        try:
+            tag = tags.send(at)
+        except StopIteration:
+            tag = None
+    if at < len(page):
+        parts.append((page[at:], link > 0))
     flush()
     return out
 
 
+def first_pass(b: Block, marked: bool) -> str:
+    """good, near, poor, short or bad, by the block alone; marked: whether the page has an article element."""
+    n = len(b.text)
+    if b.bad or b.links / n > MAX_LINK_DENSITY:
+        return "bad"
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
+    if n < LENGTH_LOW:
+        label = "bad" if b.links and not b.inside else "short"
+    elif stops >= STOPWORDS_HIGH and n > LENGTH_HIGH:
+        label = "good"
+    else:
+        label = "near" if stops >= STOPWORDS_LOW else "poor"
+    return ("near" if label == "good" else "bad") if marked and not b.inside else label
+
+
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     marked = any(b.inside for b in found)
-    labels: list[str] = []
-    for b in found:
-        n = len(b.text)
-        density = b.links / n
-        if b.bad or (marked and not b.inside):
-            labels.append("bad")
-        elif density > MAX_LINK_DENSITY:
-            labels.append("bad")
-        elif marked:
-            labels.append("good")
-        else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?") in STOPWORDS for w in words) / max(1, len(words))
-            if n < LENGTH_LOW:
-                labels.append("bad" if b.links else "short")
-            elif stops >= STOPWORDS_HIGH:
-                labels.append("good" if n > LENGTH_HIGH else "near")
-            elif stops >= STOPWORDS_LOW:
-                labels.append("near")
-            else:
-                labels.append("bad")
-    if not marked and "good" not in labels:  # with no sure block, near-good ones decide
-        labels = ["good" if x == "near" else x for x in labels]
-    n = len(labels)
-    before, after = ["bad"] * n, ["bad"] * n
-    last = "bad"
-    for k in range(n):
-        before[k] = last
-        last = labels[k] if labels[k] in ("good", "bad") else last
-    last = "bad"
-    for k in range(n - 1, -1, -1):
-        after[k] = last
-        last = labels[k] if labels[k] in ("good", "bad") else last
-    out = []
-    for k, x in enumerate(labels):
+    labels = [first_pass(b, marked) for b in found]
+    for weaker in ("near", "poor", "short"):  # with no sure block
+        if "good" not in labels:
+            labels = ["good" if x == weaker else x for x in labels]
+    decided = [k for k, x in enumerate(labels) if x in ("good", "bad")]
+    out, after = [], 0
+    for k, (x, b) in enumerate(zip(labels, found)):
         if x in ("good", "bad"):
             out.append(x == "good")
-        elif before[k] == after[k]:
-            out.append(before[k] == "good")
-        elif x == "near" or found[k].heading:
-            out.append("good" in (before[k], after[k]) if x == "near" else after[k] == "good")
-        else:  # a short block between unlike neighbours: a near-good one beside it decides
-            out.append((before[k] == "bad" and k > 0 and labels[k - 1] == "near") or (after[k] == "bad" and k + 1 < n and labels[k + 1] == "near"))
+            after += 1
+            continue
+        sides = [decided[j] for j in (after - 1, after) if 0 <= j < len(decided)]
+        choices = {labels[j] for j in sides}
+        if len(choices) < 2:
+            out.append(choices == {"good"})
+            continue
+        kin = [j for j in sides if found[j].parent == b.parent]
+        gaps = [abs(j - k) for j in sides]
+        if len(kin) == 1:
+            pick = labels[kin[0]]
+        elif gaps[0] != gaps[1]:
+            pick = labels[sides[gaps[1] < gaps[0]]]
+        else:
+            pick = labels[sides[1]] if b.heading else "good" if x == "near" else "bad"
+        out.append(pick == "good")
     return out
 
 
