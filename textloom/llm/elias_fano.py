@@ -141,6 +141,8 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
                 own.write(block)
         path = own.name
     data = np.memmap(path, np.uint8, "r")
+    if place.scheme not in ("", "file"):
+        os.unlink(path)  # the map keeps the copy until it is closed
     size = int.from_bytes(data[:64].tobytes(), "little")
     start = 64 + size + -size % 64
     out = {}

@@ -335,7 +335,7 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
         p = (counts - DISCOUNT) / words[first] + back[first] * lower
         pointers = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=len(words)))))
         arrays = EliasFano.encode(first * trie.words[-1] + second, len(words) * int(trie.words[-1]), "successors") | EliasFano.encode(pointers, len(keys) + 1, "pointers")
-        write_arrays(trie.file(2, shard), arrays | {"probs": quantised(np.log10(p)), "back": quantised(np.log10(back)), "counts": counts.astype(np.uint32)})
+        write_arrays(trie.file(2, shard), arrays | {"probs": quantised(np.log10(p)), "back": quantised(np.log10(back)), "counts": counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64)})
         return [(shard, len(keys), 0)]
 
     def _counts_of(trie, ids):
