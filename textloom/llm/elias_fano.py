@@ -26,13 +26,28 @@ def _bit_words(ones: np.ndarray, size: int) -> np.ndarray:
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th (from 0) set bit; before: set bits before each word."""
     at = np.searchsorted(before, k, side="right") - 1
-    rest = k - before[at]
     out = np.empty(len(k), np.int64)
     for s in range(0, len(k), SLICE):
         part = slice(s, s + SLICE)
-        bits = np.unpackbits(words[at[part]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        run = np.cumsum(bits, axis=1, dtype=np.uint8)
-        out[part] = at[part] * 64 + np.argmax(run > rest[part].astype(np.uint8)[:, None], axis=1)
+        word, rest = words[at[part]], (k[part] - before[at[part]]).astype(np.uint8)
+        found = np.zeros(len(word), np.uint8)
+        for width in (32, 16, 8, 4, 2, 1):  # halve the part of the word that has the bit
+            low = word & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(low)
+            above = rest >= count
+            rest -= np.where(above, count, np.uint8(0))
+            found += np.where(above, np.uint8(width), np.uint8(0))
+            word = np.where(above, word >> np.uint64(width), low)
+        out[part] = at[part] * 64 + found
+    return out
+
+
+def _next_bit(words: np.ndarray, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The position of the k-th set bit, which is the first at or after ``at``: mostly in the same word."""
+    left = words[np.minimum(at >> 6, len(words) - 1)] >> (at & 63).astype(np.uint64)
+    out = at + np.bitwise_count((left & -left) - np.uint64(1))
+    far = np.flatnonzero(left == 0)
+    out[far] = _select(words, before, k[far])
     return out
 
 
@@ -83,11 +98,10 @@ class EliasFano:
         flipped = ~self.high
         known = top < self.buckets
         top = np.where(known, top, 0)
-        ends = _select(flipped, self.zeros, top)
-        starts = np.zeros(len(top), np.int64)
+        begin = np.zeros(len(top), np.int64)
         later = top > 0
-        starts[later] = _select(flipped, self.zeros, top[later] - 1) - (top[later] - 1)
-        stops = ends - top
+        begin[later] = _select(flipped, self.zeros, top[later] - 1) + 1
+        starts, stops = begin - top, _next_bit(flipped, self.zeros, begin, top) - top
         low, high = starts, stops.copy()
         while (open_ := low < high).any():  # first position whose low part is at least the rest
             mid = (low + high) >> 1

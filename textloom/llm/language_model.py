@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textloom.llm.common import by_group, fresh_dir, table
+from textloom.llm.common import by_group, discard, fresh_dir, table
 from textloom.llm.elias_fano import EliasFano, read_arrays, write_arrays
 
 CHUNK_TOKENS = 1_000_000
@@ -297,7 +297,10 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
         return [(group[0][0], len(hashes), int(counts.sum()))]
 
     def sizes(blobs: DataFrame, write) -> list:
-        return by_group(blobs, ["shard"], [], write, "shard int, n long, total long").collect()
+        found = by_group(blobs, ["shard"], [], write, "shard int, n long, total long").collect()
+        del blobs
+        discard()  # the level's counts are no longer needed
+        return found
 
     for r in sizes(chunks.mapInArrow(count_words, BLOB), write_words):
         trie.words[r["shard"] + 1] = r["n"]
