@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -48,7 +49,10 @@ def discard(*tables: DataFrame) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    time.sleep(1.2)  # until the JVM has heard of the dropped plans: another thread tells it once a second
+    spark = SparkSession.getActiveSession()
+    spark.range(1).collect()  # the last plan run is held until another runs
+    spark._jvm.System.gc()
 
 
 #: Bits (2 to this power) that tell which keys occur; as rows of 64 bits, half a million at most.
