@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import meaning, tokens
+from textloom.functions import meaning, normalize, tokens
 from textloom.operators import findings, surface
 from textloom.sources import readers
 from textloom.streaming import checks
@@ -90,3 +90,51 @@ def test_stream_equals_batch(spark, tmp_path):
     checks.run_available(checks.finding_stream(checks.document_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, surface.surface_findings(docs).collect()))
+
+
+def test_normalisation_matches_brute_force(spark):
+    """Both forms of the normaliser against the definition, on random strings of bases and marks."""
+    import random
+
+    robat, shifters, signs = "៌", "៉៊", "ំះៈ់៍៎៏័៑៓៝"
+    vowels = "".join(map(chr, range(0x17B6, 0x17C6)))
+
+    def brute(cluster):
+        for old, new in normalize.DEPRECATED.items():
+            cluster = cluster.replace(old, new)
+        base = cluster[:1] if "ក" <= cluster[:1] <= "ឳ" else ""
+        rest, groups = cluster[len(base) :], {k: [] for k in ("robat", "sub", "ro", "shift", "vowel", "sign", "other")}
+        while rest:
+            c, rest = rest[0], rest[1:]
+            if c == "្" and rest and "ក" <= rest[0] <= "ឳ":
+                groups["ro" if rest[0] == "រ" else "sub"].append(c + rest[0])
+                rest = rest[1:]
+            elif c not in "឴឵‌‍":
+                groups["robat" if c == robat else "shift" if c in shifters else "vowel" if c in vowels else "sign" if c in signs else "other"].append(c)
+        join = {k: "".join(v if k in ("robat", "other") else dict.fromkeys(v)) for k, v in groups.items()}
+        join["vowel"] = join["vowel"].replace("េី", "ើ").replace("េា", "ោ")
+        return base + "".join(join.values())
+
+    rng = random.Random(3)
+    marks = robat + shifters + signs + vowels + "្" * 9 + "ករប឴‌"
+    words = ["ក៉៉", "ឨា", *("".join(rng.choice("កសឨឣឲ") + "".join(rng.choice(marks) for _ in range(rng.randint(0, 6))) for _ in range(2)) for _ in range(300))]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", normalize.word_key(F.col("w")).alias("k"), F.transform(normalize.clusters(F.col("w")), normalize.normalize_cluster).alias("c"), normalize.fold_key(F.col("w")).alias("f")).collect()
+    for r in rows:
+        parts = normalize.CLUSTERS.findall(r["w"])
+        assert r["c"] == [brute(x) for x in parts] == [normalize.normalized(x) for x in parts]
+        bare = r["w"].replace("‌", "")
+        assert r["k"] == "".join(map(brute, normalize.CLUSTERS.findall(bare))) == normalize.key_of(r["w"])
+        assert r["f"] == normalize.fold_of(r["w"]) and "ឲ" not in r["f"]
+    assert [brute(w) for w in words[:2]] == ["ក៉", "ឧាក"]
+
+
+def test_misspelled_units_are_not_known(spark):
+    words = spark.createDataFrame([("ក", False, True, 0), ("ខ", True, False, 1)], "key string, authoritative boolean, misspelling boolean, n int")
+    got = tokens.segments(spark.createDataFrame([(1, "កខគ x")], "doc_id long, text string"), words).collect()
+    assert [(r["start"], r["word"], r["known"]) for r in got] == [(0, "ក", False), (1, "ខ", True), (2, "គ", False)]
+
+
+def test_occurrences_may_overlap(spark):
+    docs = spark.createDataFrame([(1, "ananan"), (2, "an an"), (3, "a.c"), (4, None)], "doc_id long, text string")
+    at = lambda part, n: [(r["doc_id"], r["start"], r["stop"]) for r in findings.nth_occurrence(docs, part, n).collect()]
+    assert at("anan", 2) == [(1, 2, 6)] and at("an", 2) == [(1, 2, 4), (2, 3, 5)] and at("a.", 1) == [(3, 0, 2)]

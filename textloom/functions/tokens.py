@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import chars, normalize
+from textloom.functions.spans import spans
 
 #: Kinds of chunks, the first that matches wins.
 KINDS = {
@@ -40,12 +40,12 @@ def kind(chunk: Column) -> Column:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_at, kind, start, chunk): the whole text in pieces; null and empty texts have none."""
-    one = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0))).alias("at", "chunk"))
-    stop = F.sum(F.length("chunk")).over(Window.partitionBy("doc_id").orderBy("at"))
-    return one.select("doc_id", F.col("at").cast("long").alias("chunk_at"), kind(F.col("chunk")).alias("kind"), (stop - F.length("chunk")).cast("long").alias("start"), "chunk")
+    one = docs.select("doc_id", F.posexplode(spans(F.col("text"), CHUNK)).alias("at", "s"))
+    return one.select("doc_id", F.col("at").cast("long").alias("chunk_at"), kind(F.col("s.original")).alias("kind"), "s.start", F.col("s.original").alias("chunk"))
 
 
 def word_cost(authoritative: bool, misspelling: bool, n: int) -> float:
+    """Fixed values of path costs: 0.9, 1.5, 1, 0.1, 0.3, 0.03. misspelling: that is all that is known of the word."""
     if misspelling:
         return 0.9
     if not authoritative and n < 3:
@@ -53,9 +53,10 @@ def word_cost(authoritative: bool, misspelling: bool, n: int) -> float:
     return 1 + (0 if authoritative else 0.1) - min(0.3, 0.03 * math.log1p(n))
 
 
-def segment_run(raw: list[str], keys: list[str], costs: dict[str, float]) -> list[tuple[str, bool]]:
-    """Cheapest words of one run of clusters: a cluster outside the lexicon costs 2; unknown neighbours become one."""
-    n = len(raw)
+def cheapest(keys: list[str], costs: dict[str, float]) -> list[tuple[int, int, bool]]:
+    """(first cluster, end, known) of the words of one run of clusters by least total cost: a cluster outside the lexicon
+    costs 2; unknown neighbours become one."""
+    n = len(keys)
     best, back = [0.0] + [math.inf] * n, [(0, False)] * (n + 1)
     for i in range(n):
         for j in range(i + 1, min(n, i + MAX_WORD) + 1):
@@ -71,32 +72,44 @@ def segment_run(raw: list[str], keys: list[str], costs: dict[str, float]) -> lis
         i, known = back[j]
         cuts.append((i, j, known))
         j = i
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[int, int, bool]] = []
     for i, j, known in reversed(cuts):
-        word = "".join(raw[i:j])
-        if out and not known and not out[-1][1]:
-            out[-1] = (out[-1][0] + word, False)
+        if out and not known and not out[-1][2]:
+            out[-1] = (out[-1][0], j, False)
         else:
-            out.append((word, known))
+            out.append((i, j, known))
     return out
 
 
+def segment_run(raw: list[str], keys: list[str], costs: dict[str, float]) -> list[tuple[str, bool]]:
+    """The words of one run of clusters, and whether the lexicon has them."""
+    return [("".join(raw[i:j]), known) for i, j, known in cheapest(keys, costs)]
+
+
 def segments(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, start, word, known) of the Khmer runs; lexicon: (key, authoritative, misspelling, n), keys normalised."""
-    rows = lexicon.select("key", "authoritative", "misspelling", "n").limit(MAX_LEXICON + 1).collect()
+    """(doc_id, start, word, known) of the Khmer runs; lexicon: (key, authoritative, misspelling, n), keys normalised.
+
+    A key that only misspelling rows have is recognised as a unit but not known; with other rows it is an ordinary word.
+    """
+    rows = lexicon.groupBy("key").agg(F.bool_or(F.coalesce("authoritative", F.lit(False))).alias("a"), F.bool_and(F.coalesce("misspelling", F.lit(False))).alias("wrong"), F.max(F.coalesce("n", F.lit(0))).alias("n")).limit(MAX_LEXICON + 1).collect()
     if len(rows) > MAX_LEXICON:
         raise ValueError(f"over {MAX_LEXICON} lexicon rows")
-    costs: dict[str, float] = {}
-    for r in rows:
-        cost = word_cost(bool(r["authoritative"]), bool(r["misspelling"]), r["n"] or 0)
-        costs[r["key"]] = min(cost, costs.get(r["key"], math.inf))
-
-    @F.pandas_udf("array<struct<word:string,known:boolean>>")
-    def cut(raw: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([[{"word": w, "known": k} for w, k in segment_run(list(a), list(b), costs)] for a, b in zip(raw, keys)])
-
-    runs = chunks(docs).filter("kind = 'khmer'")
-    raw = normalize.clusters(F.col("chunk"))
-    words = runs.select("doc_id", F.col("start").alias("run"), F.posexplode(cut(raw, F.transform(raw, normalize.normalize_cluster))).alias("at", "w"))
-    stop = F.sum(F.length("w.word")).over(Window.partitionBy("doc_id", "run").orderBy("at"))
-    return words.select("doc_id", (F.col("run") + stop - F.length("w.word")).cast("long").alias("start"), "w.word", "w.known")
+    costs = {r["key"]: word_cost(r["a"], r["wrong"], r["n"]) for r in rows}
+    wrong = {r["key"] for r in rows if r["wrong"]}
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for k, start, run in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = normalize.CLUSTERS.findall(run)
+                keys = [normalize.normalized(c) for c in raw]
+                at = start
+                for i, j, known in cheapest(keys, costs):
+                    word = "".join(raw[i:j])
+                    out.append((k, at, word, known and "".join(keys[i:j]) not in wrong))
+                    at += len(word)
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], ["doc_id", "start", "word", "known"])
+
+    runs = chunks(docs).filter("kind = 'khmer'").select("doc_id", "start", "chunk")
+    return runs.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, word string, known boolean")

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.meaning import csv_cell, html_escape
-from textloom.functions.spans import findings
+from textloom.functions.spans import findings, spans
 from textloom.operators.surface import LEVELS
 
 #: Layers of rules by the first part of their name; of findings on one span the first layer wins.
 LAYERS = ("unicode", "punct", "terminology", "legal")
 CONTEXT = 40
+#: White space of any kind.
+BLANKS = tuple(map(chr, (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def _levels(rule: Column, at: int, default) -> Column:
@@ -44,11 +46,13 @@ def one_per_span(found: DataFrame) -> DataFrame:
 def numbered(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Findings in text order, named F001 and on, with up to CONTEXT characters on both sides."""
     order = Window.partitionBy("doc_id").orderBy("start", F.col("stop").desc(), "rule_id")
-    found = findings(docs, rules).withColumn("n", F.row_number().over(order))
     begin = F.greatest(F.col("start") - CONTEXT, F.lit(0))
     context = F.substring("text", (begin + 1).cast("int"), (F.col("stop") + CONTEXT - begin).cast("int"))
+    # texts stay behind: only the context goes through the window's exchange
+    found = findings(docs, rules).select("doc_id", "rule_id", "start", "stop", context.alias("context"), (F.col("start") - begin).alias("context_offset"))
+    found = found.withColumn("n", F.row_number().over(order))
     name = F.concat(F.lit("F"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string")))
-    return found.select("doc_id", name.alias("finding_id"), "rule_id", "start", "stop", context.alias("context"), (F.col("start") - begin).alias("context_offset"))
+    return found.select("doc_id", name.alias("finding_id"), "rule_id", "start", "stop", "context", "context_offset")
 
 
 def corrected(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -99,10 +103,14 @@ def html_lists(found: DataFrame) -> DataFrame:
 
 
 def nth_occurrence(docs: DataFrame, part: str, n: int) -> DataFrame:
-    """(doc_id, start, stop) of the n-th occurrence of a string, counted from 1 without overlap."""
-    parts = F.split("text", rf"\Q{part}\E", -1)
-    start = F.length(F.array_join(F.slice(parts, 1, n), part)).cast("long")
-    return docs.filter(F.size(parts) > n).select("doc_id", start.alias("start"), (start + len(part)).alias("stop"))
+    """(doc_id, start, stop) of the n-th occurrence of a string, counted from 1; occurrences may overlap."""
+    # an empty match before each occurrence, so that the next search starts one character on
+    found = F.get(spans(F.col("text"), rf"(?s).(?<={_quoted(part[:1])})(?={_quoted(part[1:])})"), F.lit(n - 1))
+    return docs.select("doc_id", found["start"].alias("start")).filter("start is not null").select("doc_id", "start", (F.col("start") + len(part)).alias("stop"))
+
+
+def _quoted(x: str) -> str:
+    return "".join(rf"\x{{{ord(c):X}}}" for c in x)
 
 
 def agreement(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def wide_gaps(docs: DataFrame) -> DataFrame:
     found = findings(docs, {"punct.multiple-spaces": " {2,}"})
     before = F.substring("text", F.col("start").cast("int"), F.lit(1))
     after = F.substring("text", (F.col("stop") + 1).cast("int"), F.lit(1))
-    blank = [F.lit(x) for x in (" ", "\t", "\n", "\r", "\x0b", "\x0c", "")]
+    blank = [F.lit(x) for x in (*BLANKS, "")]
     return found.filter((F.col("start") > 0) & ~before.isin(*blank) & ~after.isin(*blank)).select("doc_id", "start", "stop")
 
 

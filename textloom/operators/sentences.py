@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SENTENCE_END = r"[\x{17D4}\x{17D5}\x{17D6}?!.\n]"
+#: What ends a sentence.
+SENTENCE_END = r"[\x{17D4}\x{17D5}\x{17D6}?!\n]"
 
 
 def sentences(docs: DataFrame, end: str = SENTENCE_END) -> DataFrame:
-    """(doc_id, sent, sentence, n_words, words): pieces between terminators that have a word, numbered from 0."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", end, -1)).alias("piece", "sentence"))
-    words = F.filter(F.split("sentence", "[ \\t]+"), lambda w: w != "")
-    parts = parts.select("doc_id", "piece", F.trim("sentence").alias("sentence"), words.alias("words")).filter("size(words) > 0")
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("piece")) - 1).cast("long")
-    return parts.select("doc_id", number.alias("sent"), "sentence", F.size("words").cast("long").alias("n_words"), "words")
+    """(doc_id, sent, sentence, n_words, words): pieces between terminators that have a word, numbered from 0 within the row."""
+    split = lambda x: F.filter(F.split(x, "[ \\t]+"), lambda w: w != "")
+    parts = F.transform(F.split("text", end, -1), lambda x: F.struct(F.trim(x).alias("sentence"), split(x).alias("words")))
+    parts = docs.select("doc_id", F.posexplode(F.filter(parts, lambda p: F.size(p["words"]) > 0)).alias("sent", "p"))
+    return parts.select("doc_id", F.col("sent").cast("long").alias("sent"), "p.sentence", F.size("p.words").cast("long").alias("n_words"), "p.words")
 
 
 def adjacent_repeats(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.spans import findings
 
+#: Patterns, and below their levels.
 RULES = {
     "punct.repeated-khan": r"\x{17D4}{2,}",
     "punct.repeated-mark": r"[!?]{2,}",

@@ -177,7 +177,7 @@ _add(
 SELECT (SELECT count(*) FROM a) AS n_expected, (SELECT count(*) FROM a WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = a.doc_id AND f.start < a.stop AND f.stop > a.start)) AS n_hit,
 (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE f.doc_id = a.doc_id AND f.start < a.stop AND f.stop > a.start)) AS n_false""",
 )
-_BLANKS = "(' ', chr(9), chr(10), chr(13), chr(11), chr(12), '')"
+_BLANKS = f"({', '.join(f'chr({ord(x)})' for x in findings.BLANKS)}, '')"
 _add("multiple_spaces", lambda s, d, of=_overlay: findings.wide_gaps(of(s, d)), f"SELECT doc_id, start, stop FROM ({spans.findings_sql(OVERLAY_SQL, {'gap': ' {2,}'})}) AS f WHERE start > 0 AND substr(text, start, 1) NOT IN {_BLANKS} AND substr(text, stop + 1, 1) NOT IN {_BLANKS}")
 _SPACED = {"spaced": r"[\x{1780}-\x{17DD}] \x{17D4}", "tight": r"[\x{1780}-\x{17DD}]\x{17D4}"}
 _add("spaced_khan", lambda s, d, of=_overlay: findings.spaced_khan(of(s, d)), f"SELECT doc_id, start + 1 AS start, stop FROM (SELECT *, count(*) FILTER (rule_id = 'spaced') OVER (PARTITION BY doc_id) AS a, count(*) FILTER (rule_id = 'tight') OVER (PARTITION BY doc_id) AS b FROM ({spans.findings_sql(OVERLAY_SQL, _SPACED)}) AS f) AS g WHERE rule_id = 'spaced' AND a < b")
