@@ -73,7 +73,7 @@ def indel(unit: str) -> float:
 
 def weighted_distance(a: list[str], b: list[str], most: float = math.inf) -> float:
     """Least total cost of edits from a to b, with swaps of neighbours; infinite as soon as it must exceed ``most``."""
-    if abs(len(a) - len(b)) > most + 1:
+    if abs(len(a) - len(b)) * LEAST_INDEL > most + 1e-9:
         return math.inf
     rows = [[0.0]]
     for u in b:
