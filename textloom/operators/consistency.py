@@ -34,7 +34,10 @@ def defined_terms(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = F.transform(spans(F.col("text"), rf"{INTRODUCED}\s*{QUOTED}"), lambda s: F.struct(s["stop"].alias("after"), F.regexp_extract(s["original"], r"\x{00AB}([^\x{00BB}\n]{2,60})\x{00BB}", 1).alias("term")))
     quoted = F.transform(spans(F.col("text"), QUOTED), lambda s: F.struct((s["start"] + 1).alias("start"), (s["stop"] - 1).alias("stop"), F.substring(s["original"], F.lit(2), F.length(s["original"]) - 2).alias("q")))
-    both = docs.filter(F.col("text").rlike(INTRODUCED)).select("doc_id", F.explode(made).alias("d"), quoted.alias("quoted")).select("doc_id", "d.after", "d.term", F.explode("quoted").alias("q")).filter("q.stop >= after").select("doc_id", "term", "q.start", "q.stop", F.col("q.q").alias("original"))
+    docs = docs.filter(F.col("text").rlike(INTRODUCED)).select("doc_id", made.alias("made"), quoted.alias("quoted"))
+    later = lambda d: F.filter("quoted", lambda q: q["stop"] >= d["after"])
+    pairs = F.flatten(F.transform("made", lambda d: F.transform(later(d), lambda q: F.struct(d["term"].alias("term"), q["start"].alias("start"), q["stop"].alias("stop"), q["q"].alias("original")))))
+    both = docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.term", "p.start", "p.stop", "p.original")
 
     def near(batches):
         for batch in batches:

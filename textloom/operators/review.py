@@ -25,7 +25,7 @@ def record(found: DataFrame) -> DataFrame:
     """Findings (rule_id, start, stop, original, suggestions, severity, confidence, ...) as full records: category, confidence
     within 0.05 and 0.99 and its level, suggestions without repeats and nulls, whether a human must look."""
     first = F.substring_index("rule_id", ".", 1)
-    category = F.when(F.col("rule_id") == "spelling.unknown", "unverified").otherwise(F.coalesce(F.get(F.create_map(*(F.lit(x) for kv in CATEGORY_OF.items() for x in kv)), first), first))
+    category = F.when(F.col("rule_id") == "spelling.unknown", "unverified").otherwise(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CATEGORY_OF.items() for x in kv)), first), first))
     confidence = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("confidence"))), 2)
     given = F.array_distinct(F.filter(F.coalesce("suggestions", F.array().cast("array<string>")), lambda x: x.isNotNull()))
     return found.withColumns({"category": category, "confidence": confidence, "suggestions": given, "severity": F.coalesce("severity", F.lit("warning"))}).withColumns({"confidence_level": level(F.col("confidence")), "human_review": F.lit(False), "safe": (F.size("suggestions") > 0) & (F.col("confidence") >= 0.8)})
@@ -108,8 +108,7 @@ def fields(rows: DataFrame) -> DataFrame:
 def csv_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, no, line): a line of 21 cells for each row of fields(); line 0 has the headers after a byte order mark. Lines end
     with carriage return and line feed in csv_text()."""
-    names = {"open": "Open", "accepted": "Accepted", "rejected": "Rejected"}
-    status = F.get(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("status"))
+    status = F.try_element_at(F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv)), F.col("status"))
     empty = F.lit("")
     cells = ["no", status, "paragraph", "line", "column", "start", "stop", "context", "original", "category", empty, "severity", empty, "shown", F.concat(F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%")), "confidence_level", empty, empty, empty, "rule_id", F.when(F.col("human_review"), "yes").otherwise("no")]
     line = F.concat_ws(",", *(csv_cell(F.col(c) if isinstance(c, str) else c) for c in cells))
@@ -141,27 +140,37 @@ def html_report(rows: DataFrame) -> DataFrame:
     return table.join(counts, "doc_id").select("doc_id", page.alias("html"))
 
 
-def accepted_proposals(docs: DataFrame, proposals: DataFrame, known: DataFrame, legal: bool = False) -> DataFrame:
-    """Proposals (doc_id, original, category, suggestion, confidence) that hold up: the original stands in the text once
-    or more (the first place counts), is no more than half of a long text, the suggestion differs, numbers survive, in legal
-    texts the words of meaning too, and no known finding (doc_id, start, stop) overlaps it."""
-    digits = lambda c: F.array_join(F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(r"[0-9\x{17E0}-\x{17E9}]+"), F.lit(0)), chars.to_arabic_digits)), ",")
-    rows = proposals.join(docs.select("doc_id", "text"), "doc_id").withColumn("start", F.instr("text", F.col("original")) - 1)
-    rows = rows.filter("length(original) > 0 and start >= 0").filter((F.length("text") <= 200) | (2 * F.length("original") <= F.length("text")))
-    rows = rows.filter(F.col("original") != F.coalesce("suggestion", F.lit(""))).filter((F.coalesce("suggestion", F.lit("")) == "") | (digits(F.col("original")) == digits(F.col("suggestion"))))
-    if legal:
-        rows = rows.filter((F.coalesce("suggestion", F.lit("")) == "") | (meaning_signature(F.col("original")) == meaning_signature(F.col("suggestion"))))
-    rows = rows.withColumn("stop", F.col("start") + F.length("original")).drop("text")
-    k = known.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("stop").alias("e"))
-    return rows.join(k, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("e")) & (F.col("stop") > F.col("s")), "left_anti")
+#: What a proposal may be about, its longest original and the bounds of its confidence.
+PROPOSED = ("grammar", "structure", "wording", "missing", "unnecessary", "clarity", "spelling", "punctuation", "repetition", "terminology")
+MOST_ORIGINAL, LEAST_SURE, MOST_SURE = 400, 0.2, 0.6
+
+
+def accepted_proposals(docs: DataFrame, proposals: DataFrame, misspelled: DataFrame, legal: bool = False) -> DataFrame:
+    """Proposals (doc_id, place, original, category, suggestion, confidence) that hold up, with start and stop.
+
+    The category must be a known one and the original stand in the text; the k-th proposal of one original gets its k-th
+    place (places may overlap) or goes. Suggestions that change nothing or that ``misspelled`` (suggestion) lists are
+    dropped, the proposal stays as advice. Confidence is held within bounds; legal texts need a human.
+    """
+    rows = proposals.filter(F.col("category").isin(*PROPOSED) & F.length("original").between(1, MOST_ORIGINAL))
+    k = F.row_number().over(Window.partitionBy("doc_id", "original").orderBy("place"))
+    rows = rows.withColumn("k", k).join(docs.select("doc_id", "text"), "doc_id")
+    # places of one string: every one where the rest of the text begins with it
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - F.length("original") + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.length("original")) == F.col("original"))
+    rows = rows.withColumn("start", (F.get(starts, F.col("k") - 1) - 1).cast("long")).filter("start is not null").drop("text", "k")
+    bad = misspelled.select(F.col("suggestion").alias("bad")).distinct()
+    rows = rows.join(bad, F.col("suggestion") == F.col("bad"), "left")
+    keep = (F.coalesce("suggestion", F.lit("")) != "") & (F.col("suggestion") != F.col("original")) & F.col("bad").isNull()
+    sure = F.least(F.lit(MOST_SURE), F.greatest(F.lit(LEAST_SURE), F.coalesce("confidence", F.lit(0.4))))
+    return rows.select("doc_id", "category", "start", (F.col("start") + F.length("original")).alias("stop"), "original", F.when(keep, F.array("suggestion")).otherwise(F.array().cast("array<string>")).alias("suggestions"), F.lit("suggestion").alias("severity"), sure.alias("confidence"), F.lit(legal).alias("human_review"))
 
 
 def accepted_rewrites(rewrites: DataFrame, legal: bool = False, most: int = 3) -> DataFrame:
-    """Rewrites (passage_id, place, passage, text) that may be offered: the first ``most`` of each passage, Khmer, not the
-    passage, at most twice as long and 40 characters, all numbers as in the passage; meaning_changed says whether words of
-    meaning differ, which legal texts forbid."""
+    """Rewrites (passage_id, place, passage, text, errors, errors_before: counts of spelling errors) that may be offered: the
+    first ``most`` of each passage, Khmer, not the passage, at most twice as long and 40 characters, with all its numbers and no
+    more errors; meaning_changed says whether words of meaning differ, which legal texts forbid."""
     digits = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(c, F.lit(r"[0-9\x{17E0}-\x{17E9}]+"), F.lit(0))), ",")
     rows = rewrites.filter(F.col("place") < most).withColumn("text", F.trim("text"))
-    rows = rows.filter((F.col("text") != "") & (F.col("text") != F.col("passage")) & (F.length("text") <= 2 * F.length("passage") + 40) & F.col("text").rlike(r"[\x{1780}-\x{17FF}]") & (digits(F.col("text")) == digits(F.col("passage"))))
+    rows = rows.filter((F.col("text") != "") & (F.col("text") != F.col("passage")) & (F.length("text") <= 2 * F.length("passage") + 40) & F.col("text").rlike(r"[\x{1780}-\x{17FF}]") & (digits(F.col("text")) == digits(F.col("passage"))) & (F.col("errors") <= F.col("errors_before")))
     rows = rows.withColumn("meaning_changed", meaning_signature(F.col("text")) != meaning_signature(F.col("passage")))
     return rows.filter("not meaning_changed") if legal else rows
