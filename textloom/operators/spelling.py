@@ -6,6 +6,7 @@ Distances are computed once for each distinct string, over pairs that share a so
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,11 @@ def spelling(sentences: DataFrame, lexicon: DataFrame, bigrams: DataFrame, wrong
 
     wrong are the listed misspellings, which must be the first phrases of the analysis, in order.
     """
+    open_ = lambda w: (~w["known"]) | lex.weak(w["f"], w["n"])
+    if not strict:  # other sentences have nothing to find
+        sentences = sentences.filter((F.size("phrases") > 0) | F.exists("words", open_))
+    # each layer reads them again: the analysis of the texts should not run each time
+    sentences = sentences.persist(StorageLevel.DISK_ONLY)
     sure = listed(sentences.withColumn("phrases", F.filter("phrases", lambda p: p["id"] < len(wrong))), list(wrong))
     maybe = unknown_words(sentences, lexicon, bigrams, sure)
     found = sure.unionByName(maybe)

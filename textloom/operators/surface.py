@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.spans import findings
+from textloom.functions.spans import findings, spans
 
 #: Patterns, and below their levels.
 RULES = {
@@ -48,11 +48,19 @@ def surface_findings(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFram
 
 
 def located(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """Findings with line and column, both from 1; lines end at a line feed only."""
-    found = findings(docs, rules)
-    before = F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))
-    lines = F.split(before, "\n", -1)
-    return found.select("doc_id", "rule_id", "start", F.size(lines).cast("long").alias("line"), (F.length(F.element_at(lines, -1)) + 1).cast("long").alias("col"))
+    """Findings with line and column, both from 1; lines end at a line feed only.
+
+    The places of the line feeds are found once a text; a finding looks its line up among them.
+    """
+    feeds = docs.filter(F.col("text").rlike("|".join(f"(?:{p})" for p in rules.values()))).withColumn("feeds", F.transform(spans(F.col("text"), "\n"), lambda s: s["stop"]))
+    each = [F.transform(spans(F.col("text"), p), _named(r)) for r, p in rules.items()]
+    found = feeds.select("doc_id", "feeds", F.explode(F.concat(*each)).alias("f"))
+    before = F.filter("feeds", lambda x: x <= F.col("f.start"))
+    return found.select("doc_id", "f.rule_id", "f.start", (F.size(before) + 1).cast("long").alias("line"), (F.col("f.start") - F.coalesce(F.get(before, F.size(before) - 1), F.lit(0)) + 1).cast("long").alias("col"))
+
+
+def _named(rule: str):
+    return lambda s: F.struct(F.lit(rule).alias("rule_id"), s["start"].alias("start"))
 
 
 def unbalanced_quotes(docs: DataFrame, opening: str = "«", closing: str = "»") -> DataFrame:

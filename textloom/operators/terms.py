@@ -14,11 +14,22 @@ def parse_term_rules(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(F.col(column).contains("=")).select(F.trim(F.get(sides, F.lit(0))).alias("preferred"), variants.alias("variants")).filter("preferred <> '' and size(variants) > 0")
 
 
+#: Term rules are user input and become part of the plan; more are refused.
+MAX_RULES = 5000
+
+
 def term_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """How often each variant occurs in each document; rules are a small table of (preferred, variant)."""
-    hit = docs.join(F.broadcast(rules), F.col("text").contains(F.col("variant")))
-    n = ((F.length("text") - F.length(F.replace("text", "variant", F.lit("")))) / F.length("variant")).cast("long")
-    return hit.select("doc_id", "preferred", "variant", n.alias("n"))
+    """How often each variant occurs in each document, without overlap; rules are a table of (preferred, variant).
+
+    The rules are an array of at most MAX_RULES pairs (an error beyond), so the documents are scanned once, without a join.
+    """
+    pairs = [(r["preferred"], r["variant"]) for r in rules.select("preferred", "variant").distinct().limit(MAX_RULES + 1).collect()]
+    if len(pairs) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} term rules")
+    listed = F.array(*(F.struct(F.lit(p).alias("preferred"), F.lit(v).alias("variant")) for p, v in pairs if v)) if any(v for _, v in pairs) else F.array().cast("array<struct<preferred:string,variant:string>>")
+    found = docs.select("doc_id", "text", F.explode(F.filter(listed, lambda r: F.col("text").contains(r["variant"]))).alias("r"))
+    n = ((F.length("text") - F.length(F.replace("text", F.col("r.variant"), F.lit("")))) / F.length("r.variant")).cast("long")
+    return found.select("doc_id", "r.preferred", "r.variant", n.alias("n"))
 
 
 def merge_lexicon(entries: DataFrame) -> DataFrame:

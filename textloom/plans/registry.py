@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chars, meaning, normalize, spans, tokens
-from textloom.operators import findings, sentences, surface, terms
+from textloom.operators import consistency, evaluation, findings, punctuation, review, rules, sentences, spelling, surface, terms, words
+from textloom.operators import lexicon as lex
 
 LINES = (
     "ខ្ញុំទៅផ្សារ។។ គាត់មក!!",
@@ -184,6 +185,118 @@ _add("spaced_khan", lambda s, d, of=_overlay: findings.spaced_khan(of(s, d)), f"
 _add("legacy_font", lambda s, d: findings.legacy_font(_docs(s, d)), r"SELECT doc_id FROM documents WHERE length(text) > 40 AND regexp_matches(text, '[A-Za-z\[\];''\\]{25,}') AND NOT regexp_matches(text, '[\x{1780}-\x{17FF}\x{19E0}-\x{19FF}]')")
 
 
+#: Lines that the dictionary-based rules have something to say about, by doc_id, before the whole document.
+RULE_LINES = (
+    "ខ្ញុំនិងទៅផ្សារ។ ខ្ញុំទៅទៅ។ ខ្ងុំទៅសាលារៀន។",
+    "ម្សិលមិញស្អែកខ្ញុំទៅ។ គាត់មកមិនមក។ សាលារៀនធំតូច.",
+    "តើអ្នកទៅផ្សារ។ ឃើញ: ក។ខ ៗ មានសិស្ស ២០ មក។",
+    "គាត់មិនត្រឹមតែរៀនពូកែ។ ខ្ញុំអត់ដឹងទេ។ ខ្ញុំទៅផ្សារ។ ខ្ញុំមកសាលារៀន។",
+    "សេចក្ដីល្អ សេចក្តី។ ហៅថា «ភាគីមួយ» «ភាគិមួយ»។ គេទៅ។",
+    "សមត្តភាពរបស់គាត់ល្អ។ លោក ឡុងវីន បានមក។ គាត់អោយខ្ញុំ។",
+    "ខ្ញុំទៅដែល។ សៀវភៅដែរខ្ញុំទិញ។ ខ្ញុំសាលារៀនទៅ។ គាត់ពិនិត្សឯកសារ។",
+)
+#: (key, flags, frequency, parts of speech)
+RULE_LEXICON = tuple(
+    (word, flags, n, lex.POS.get(pos, 0))
+    for pos, flags, n, group in (
+        ("PRON", 1, 50, "ខ្ញុំ គាត់ អ្នក គេ លោក"), ("V", 1, 30, "ទៅ មក ទិញ រៀន ដឹង មាន ពិនិត្យ ឱ្យ"), ("N", 1, 9, "សាលារៀន ផ្សារ សៀវភៅ សិស្ស ឯកសារ សមត្ថភាព សេចក្ដី"),
+        ("CONJ", 1, 90, "និង"), ("PART", 1, 90, "នឹង ដែល ដែរ មិន តើ ទេ បាន មិនត្រឹមតែ"), ("ADJ", 1, 9, "ធំ តូច ល្អ ពូកែ"), ("ADV", 1, 5, "ម្សិលមិញ ស្អែក"), ("PREP", 1, 50, "របស់"),
+        ("N", 4, 1, "ភាព"), ("", 4, 0, "សមត្ត"), ("N", 2, 9, "សេចក្តី"), ("", 1024, 3, "អត់"), ("", 512, 0, "អោយ"),
+    )
+    for word in group.split()
+)
+WRONG = ({"wrong": "អោយ", "correct": "ឱ្យ", "confidence": 0.85},)
+STYLE = ({"rule_id": "style.phrase", "pattern": "អត់ដឹង", "suggestions": ["មិនដឹង"], "severity": "suggestion", "confidence": 0.4, "category": "wording"},)
+LAW_WORDS = (("ភាគីមួយ", "ភាគិមួយ"), ("the", "and"))
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, RULE_LINES)), (F.col("doc_id") % len(RULE_LINES) + 1).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(line, F.lit("\n"), F.col("text")).alias("text"))
+
+
+def _rule_lexicon(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(RULE_LEXICON, "key string, f int, n int, p int")
+    return lex.with_inherited_pos(rows.withColumn("key", normalize.word_key(F.col("key"))))
+
+
+def _analysed(spark: SparkSession, sf_dir: str, phrases: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    table = _rule_lexicon(spark)
+    return words.analysed(_ruled(spark, sf_dir), table, list(phrases)), table
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
+def _style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = _analysed(spark, sf_dir, ("មិនត្រឹមតែ", *(r["pattern"] for r in STYLE), *rules.VAGUE))
+    vague = [{"rule_id": "legal.vague-term", "suggestions": None, "severity": "info", "confidence": 0.5} for _ in rules.VAGUE]
+    hits = [rules.correlatives({"មិនត្រឹមតែ": 0}), rules.phrase_hits(1, list(STYLE), rules.cut_keeps_sentence), rules.phrase_hits(1 + len(STYLE), vague), rules.register_hits([{"informal": "អត់", "suggestions": ["មិន"]}], True), rules.unclear_actor(), rules.first_person(), rules.question_marks()]
+    return _flat(rules.found(s, *hits))
+
+
+def _spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, table = _analysed(spark, sf_dir, tuple(w["wrong"] for w in WRONG))
+    return _flat(spelling.spelling(s, table, words.bigrams(s), list(WRONG), strict=True))
+
+
+def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _ruled(spark, sf_dir)
+    s, table = _analysed(spark, sf_dir)
+    found = consistency.variant_mix(s, lex.variant_groups(table)).unionByName(consistency.defined_terms(docs)).unionByName(consistency.synonym_mix(docs, list(LAW_WORDS)))
+    return _flat(found.unionByName(consistency.user_rules(docs, [("ការ", "ទៅ")])))
+
+
+def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, table = _analysed(spark, sf_dir)
+    found = rules.grammar(s, "legal").unionByName(rules.meaning(s, table))
+    placed = review.ordered(review.legal_guard(review.record(found)), _ruled(spark, sf_dir), s)
+    none = spark.createDataFrame([], "doc_id long, finding_id string, status string, chosen string, at int")
+    return review.csv_lines(review.fields(review.decided(placed, none)))
+
+
+def _corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon rows of the corpus: the words of each language are a source of their own, n their greatest count in a text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    flag = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 4).when(F.col("lang") == "fr", 8).otherwise(2)
+    one = docs.select("doc_id", flag.alias("f"), F.explode(F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")).alias("key"))
+    return one.groupBy("doc_id", "key").agg(F.max("f").alias("f"), F.count("*").cast("int").alias("n")).select("key", "f", "n", F.lit(0).alias("p"))
+
+
+_CORPUS_SQL = """(SELECT key, bit_or(f)::INT AS f, max(n)::INT AS n FROM (SELECT doc_id, key, max(f) AS f, count(*)::INT AS n FROM
+(SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 4 WHEN 'fr' THEN 8 ELSE 2 END AS f, unnest(string_split_regex(text, '[ \n]+')) AS key FROM documents) AS a WHERE key <> '' GROUP BY doc_id, key) AS b GROUP BY key)"""
+
+_add("context_punctuation", lambda s, d: punctuation.context_findings(_ruled(s, d)))
+_add("analysed_sentences", lambda s, d: _analysed(s, d)[0].select("doc_id", "sent", "start", "stop", "terminator", F.size("words").alias("n_words"), F.array_join(F.transform("words", lambda w: w["key"]), " ").alias("keys")))
+_add("grammar_rules", lambda s, d: _flat(rules.grammar(_analysed(s, d)[0], "legal")))
+_add("meaning_rules", lambda s, d: _flat(rules.meaning(*_analysed(s, d))))
+_add("opening_runs", lambda s, d: _flat(rules.openings(_analysed(s, d)[0])))
+_add("style_rules", _style)
+_add("spelling_rules", _spelling)
+_add("consistency_rules", _consistency)
+_add("review_csv", _review)
+_add("corpus_lexicon", lambda s, d: lex.merged(_corpus_words(s, d)).select("key", "f", "n"), f"SELECT * FROM {_CORPUS_SQL} AS c")
+_add(
+    "lexicon_lookups",
+    lambda s, d: lex.merged(_corpus_words(s, d)).select("key", lex.known(F.col("f")).alias("known"), lex.weak(F.col("f"), F.col("n")).alias("weak"), lex.source_rank(F.col("f")).alias("rank"), lex.primary_source(F.col("f")).alias("source")),
+    f"SELECT key, TRUE AS known, (f & {lex.AUTHORITATIVE}) = 0 AND n < 3 AS weak, CASE WHEN f & 1 > 0 THEN 2 WHEN f & 8 > 0 THEN 4 WHEN f & 2 > 0 THEN 7 ELSE 9 END AS rank, CASE WHEN f & 1 > 0 THEN 'headword' WHEN f & 8 > 0 THEN 'modern' WHEN f & 2 > 0 THEN 'attested' ELSE 'wordlist' END AS source FROM {_CORPUS_SQL} AS c",
+)
+_add(
+    "lexicon_compounds",
+    lambda s, d: lex.with_inherited_pos(lex.merged(_corpus_words(s, d)).withColumn("p", F.when(F.length("key") == 3, 1).when(F.length("key") == 4, 2).otherwise(0))).select("key", "p"),
+    f"""WITH l AS (SELECT key, f, CASE length(key) WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS p FROM {_CORPUS_SQL} AS c),
+c AS (SELECT key, unnest(range(2, length(key)::INT)) AS cut FROM l WHERE p = 0 AND length(key) > 2),
+m AS (SELECT c.key, arg_max(h.p, c.cut) AS q FROM c JOIN l AS h ON h.key = substr(c.key, 1, c.cut::INT) AND h.p <> 0 AND (h.f & {lex.AUTHORITATIVE}) <> 0 JOIN l AS t ON t.key = substr(c.key, c.cut::INT + 1) GROUP BY c.key)
+SELECT l.key, CASE WHEN l.p <> 0 THEN l.p ELSE coalesce(m.q, 0) END AS p FROM l LEFT JOIN m ON m.key = l.key""",
+)
+_add(
+    "swapped_words",
+    lambda s, d: evaluation.swapped(_ruled(s, d)).select("doc_id", "kind", "start", F.length("text").cast("long").alias("n")),
+    "SELECT doc_id, a || '>' || b AS kind, (strpos(text, a) - 1)::BIGINT AS start, (length(text) - length(a) + length(b))::BIGINT AS n FROM (SELECT doc_id, list_extract([" + ", ".join(map(_quote, RULE_LINES)) + f"], (doc_id % {len(RULE_LINES)} + 1)::INT) || chr(10) || text AS text FROM documents) AS t, (VALUES " + ", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in evaluation.REAL_WORDS) + ") AS v(a, b) WHERE strpos(text, a) > 0",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface findings with their lines over all documents."""
     return surface.located(_docs(spark, sf_dir))
