@@ -76,6 +76,7 @@ def unknown_words(sentences: DataFrame, lexicon: DataFrame, bigrams: DataFrame,
     near = lex.candidates(windows.filter(~bare), lexicon, limit=4, wide=False).withColumn("wide", F.lit(False))
     near = near.unionByName(lex.candidates(windows.filter(bare), lexicon, limit=4, wide=True).withColumn("wide", F.lit(True)))
     pair = bigrams.select("a", "b").distinct()
+    windows = windows.persist(StorageLevel.DISK_ONLY)
     before, after = pair.select(F.col("a").alias("before"), F.col("b").alias("candidate"), F.lit(0.15).alias("bonus_before")), pair.select(F.col("b").alias("after"), F.col("a").alias("candidate"), F.lit(0.15).alias("bonus_after"))
     options = windows.withColumn("wide", bare).join(near, ["key", "wide"]).join(before, ["before", "candidate"], "left").join(after, ["after", "candidate"], "left")
     size = F.size(normalize.units(F.col("candidate")))
@@ -145,9 +146,11 @@ def spelling(sentences: DataFrame, lexicon: DataFrame, bigrams: DataFrame, wrong
     # each layer reads them again: the analysis of the texts should not run each time
     sentences = sentences.persist(StorageLevel.DISK_ONLY)
     sure = listed(sentences.withColumn("phrases", F.filter("phrases", lambda p: p["id"] < len(wrong))), list(wrong))
-    maybe = unknown_words(sentences, lexicon, bigrams, sure)
+    # findings are few; the layers after them read them again
+    sure = sure.persist(StorageLevel.DISK_ONLY)
+    maybe = unknown_words(sentences, lexicon, bigrams, sure).persist(StorageLevel.DISK_ONLY)
     found = sure.unionByName(maybe)
     # a word that is only not in the lexicon takes no span
     taken = lambda x: x.filter("rule_id <> 'spelling.unknown'").select(*SPAN)
-    found = found.unionByName(split_words(sentences, lexicon, taken(found)))
+    found = found.unionByName(split_words(sentences, lexicon, taken(found)).persist(StorageLevel.DISK_ONLY))
     return found.unionByName(strict_variants(sentences, lexicon, taken(found))) if strict else found
