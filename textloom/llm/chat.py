@@ -12,7 +12,7 @@ entry, and each chunk then finds and renders its own path. Costs add up, so the
 that of one programme over the whole conversation.
 
 Defined cases: a null or unknown role is relabelled at no extra charge for the kind of label; null text
-is empty; turns sort by turn, null first, then role and text; turns repeated in full are one turn with
+is empty; turns sort by turn, then a hash of role and text, then these; a null turn sorts as -1; turns repeated in full are one turn with
 a count; a conversation without turns doesn't exist; a null conversation id is a conversation.
 """
 
