@@ -8,7 +8,7 @@ outside, where the page has one, good becomes near-good and the others become ba
 Pass 2 gives near-good, poor and short blocks the class of their nearest decided neighbours (good or bad): of two
 unlike ones, that with the same parent element, else the closer one, else the one after for a heading, the good one
 for near-good blocks and the bad one for the others. On a page without any good block the near-good ones are good,
-without those the poor ones, without those the short ones.
+without those the poor ones, without those the short ones inside an article.
 
 Tags are found in linear time: once a quoted attribute is found to have no end, later tags end at their first ">".
 
@@ -216,7 +216,7 @@ def classify(found: list[Block]) -> list[bool]:
     labels = [first_pass(b, marked) for b in found]
     for weaker in ("near", "poor", "short"):  # with no sure block
         if "good" not in labels:
-            labels = ["good" if x == weaker else x for x in labels]
+            labels = ["good" if x == weaker and (weaker != "short" or b.inside) else x for x, b in zip(labels, found)]
     decided = [k for k, x in enumerate(labels) if x in ("good", "bad")]
     out, after = [], 0
     for k, (x, b) in enumerate(zip(labels, found)):
