@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import chat, decontaminate, html_text, language_model, packing, pii, quality, simhash, toxicity, urls
-from textloom.llm.elias_fano import EliasFano
+from textloom.llm.elias_fano import EliasFano, read_arrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp long, label_id long, s string"
@@ -582,6 +582,53 @@ def test_query_keeps_pairs_and_triples_seen_once(spark, tmp_path):
 # --- urls
 
 
+def test_elias_fano_find_does_not_read_the_whole_sequence():
+    class Watched(np.ndarray):
+        largest = 0
+
+        def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+            Watched.largest = max(Watched.largest, *(np.size(x) for x in inputs))
+            plain = lambda xs: tuple(x.view(np.ndarray) if isinstance(x, np.ndarray) else x for x in xs)
+            found = getattr(ufunc, method)(*plain(inputs), **kwargs | ({"out": plain(kwargs["out"])} if "out" in kwargs else {}))
+            return found.view(Watched) if isinstance(found, np.ndarray) else found
+
+    v = np.unique(np.random.default_rng(14).integers(0, 10**9, 100_000))
+    arrays = {k: x.view(Watched) for k, x in EliasFano.encode(v, 10**9, "x").items()}
+    assert EliasFano(arrays, "x").find(v[[3, 500, 90_000]]).tolist() == [3, 500, 90_000]
+    assert Watched.largest < 100
+
+
+def test_triples_of_a_very_common_word_go_to_many_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(15)
+    texts = [" ".join(f"hot w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    chunks, n = language_model.tokens_table(docs.coalesce(2)).cache(), sum(len(t.split()) + 1 for t in texts)
+    found = []
+    for size in (10**6, 200):
+        monkeypatch.setattr(language_model, "SHARD_TOKENS", size)
+        trie = language_model.build(chunks, f"{tmp_path}/{size}", n, 1)
+        found.append(sorted(tuple(r) for r in language_model.score_chunks(chunks, trie, "long").collect()))
+    assert found[0] == found[1] and len(found[0]) == len(texts)
+    train = [["", *t.split(), ""] for i, t in enumerate(texts) if i % 5 != 1]
+    most = max(collections.Counter(p for w in train for p in zip(w, w[1:])).values())
+    triples = [len(read_arrays(str(f))["probs"]) for f in (tmp_path / "200").glob("level3-*.bin")]
+    assert sum(triples) == len({x for w in train for x in zip(w, w[1:], w[2:])})
+    assert n > 3000 and max(triples) <= 200 + most
+
+
+def test_counts_of_a_shard_are_added_in_rounds(monkeypatch):
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(language_model, "FLUSH", 50)
+    total, rows = collections.Counter(), []
+    for _ in range(30):
+        keys, counts = np.unique(rng.integers(0, 300, 60).astype(np.uint64), return_counts=True)
+        total.update(dict(zip(keys.tolist(), counts.tolist())))
+        rows.append((0, language_model.pack_keys(keys), counts.astype(np.uint32).tobytes(), (keys * 7 % 100).astype(np.uint16).tobytes()))
+    keys, counts, extra = language_model._merged(rows)
+    assert dict(zip(keys.tolist(), counts.tolist())) == total and keys.tolist() == sorted(total)
+    assert extra.tolist() == [k * 7 % 100 for k in keys.tolist()]
+
+
 def test_url_verdicts(spark):
     given = [None, "", "no scheme", "http://A.Example.ORG/es/1?x", "https://example.org/en/1/2#y", "ftp://badexample.org/es/", "x://spam-farm.net", "http://m.casino-win.net/en/", "http://b.com/de/x", "http://b.com/fr/x", "http://c.net/a?b://d", "http://c.net/a?b://d"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(given)], "page_id long, url string, host string, verdict string")

@@ -15,6 +15,7 @@ from urllib.parse import urlparse
 import numpy as np
 
 SLICE = 1 << 17
+FLIP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _bit_words(ones: np.ndarray, size: int) -> np.ndarray:
@@ -23,13 +24,13 @@ def _bit_words(ones: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit; before: set bits before each word."""
-    at = np.searchsorted(before, k, side="right") - 1
+def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """Position of the k-th (from 0) set bit, or with FLIP unset bit; before: such bits before each word."""
+    at = np.searchsorted(before, k.astype(before.dtype), side="right") - 1  # of one kind, or all of before is converted
     out = np.empty(len(k), np.int64)
     for s in range(0, len(k), SLICE):
         part = slice(s, s + SLICE)
-        word, rest = words[at[part]], (k[part] - before[at[part]]).astype(np.uint8)
+        word, rest = words[at[part]] ^ flip, (k[part] - before[at[part]]).astype(np.uint8)
         found = np.zeros(len(word), np.uint8)
         for width in (32, 16, 8, 4, 2, 1):  # halve the part of the word that has the bit
             low = word & np.uint64((1 << width) - 1)
@@ -42,12 +43,12 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-def _next_bit(words: np.ndarray, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The position of the k-th set bit, which is the first at or after ``at``: mostly in the same word."""
-    left = words[np.minimum(at >> 6, len(words) - 1)] >> (at & 63).astype(np.uint64)
+def _next_zero(words: np.ndarray, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The position of the k-th unset bit, which is the first at or after ``at``: mostly in the same word."""
+    left = (words[np.minimum(at >> 6, len(words) - 1)] ^ FLIP) >> (at & 63).astype(np.uint64)
     out = at + np.bitwise_count((left & -left) - np.uint64(1))
     far = np.flatnonzero(left == 0)
-    out[far] = _select(words, before, k[far])
+    out[far] = _select(words, before, k[far], FLIP)
     return out
 
 
@@ -90,23 +91,27 @@ class EliasFano:
         return (top << (8 * self.low_bytes)) | self._lows(at)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The position of each value, -1 where it isn't in the sequence (its successor differs)."""
+        """The position of each value, -1 where it isn't in the sequence (its successor differs).
+
+        Only what the values need is read: the time does not grow with the sequence.
+        """
         if not self.n or not len(values):
             return np.full(len(values), -1)
         values = values.astype(np.int64)
         top, rest = values >> (8 * self.low_bytes), values & ((1 << (8 * self.low_bytes)) - 1)
-        flipped = ~self.high
         known = top < self.buckets
         top = np.where(known, top, 0)
-        begin = np.zeros(len(top), np.int64)
-        later = top > 0
-        begin[later] = _select(flipped, self.zeros, top[later] - 1) + 1
-        starts, stops = begin - top, _next_bit(flipped, self.zeros, begin, top) - top
-        low, high = starts, stops.copy()
-        while (open_ := low < high).any():  # first position whose low part is at least the rest
-            mid = (low + high) >> 1
-            less = open_ & (self._lows(np.minimum(mid, self.n - 1)) < rest)
-            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        begin = np.where(top > 0, _select(self.high, self.zeros, np.maximum(top - 1, 0), FLIP) + 1, 0)
+        low, stops = begin - top, _next_zero(self.high, self.zeros, begin, top) - top
+        open_ = np.flatnonzero(known & (low < stops))
+        a, b, wanted = low[open_], stops[open_], rest[open_]
+        while len(open_):  # first position whose low part is at least the rest
+            mid = (a + b) >> 1
+            less = self._lows(mid) < wanted
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            low[open_] = a
+            left = np.flatnonzero(a < b)
+            open_, a, b, wanted = open_[left], a[left], b[left], wanted[left]
         hit = known & (low < stops)
         hit &= self._lows(np.where(hit, low, 0)) == rest
         return np.where(hit, low, -1)
@@ -159,7 +164,7 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
         os.unlink(path)  # the map keeps the copy until it is closed
     size = int.from_bytes(data[:64].tobytes(), "little")
     start = 64 + size + -size % 64
-    out = {}
+    data, out = data.view(np.ndarray), {}  # memmap's own indexing is slow
     for name, (kind, shape, at) in json.loads(data[64 : 64 + size].tobytes()).items():
         n = int(np.prod(shape)) * np.dtype(kind).itemsize
         out[name] = data[start + at : start + at + n].view(kind).reshape(shape)

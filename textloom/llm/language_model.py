@@ -9,6 +9,10 @@ files of the shared folder, memory-mapped by the executors:
 3. triples: the context is the position of its pair in level 2, and the last word is written relative
    to its context: as its rank among the successors of the middle word, a far smaller number.
 
+A shard of level 2 follows its first words; level 3 cuts it where the pairs' counts reach SHARD_TOKENS, so
+that the triples of a very common word are in many files. A chunk asks every shard once a level; what
+that costs does not grow with the shard (EliasFano.find), and chunks are large to ask seldom.
+
 Probabilities are interpolated with absolute discounting down to add-half word probabilities. Levels 2
 and 3 hold the pairs and triples seen ``least`` times or more, the mass of others goes to the back-off
 weight; the query keeps all of them (least 1). (A triple can be seen ``least`` times only if both its
@@ -91,8 +95,15 @@ class Chunk:
         self.train, self.lengths = np.frombuffer(train, np.uint8).astype(bool), np.frombuffer(lengths, np.uint32).astype(np.int64)
         self.vocabulary, self.ids = np.frombuffer(vocabulary, np.uint64), np.frombuffer(ids, np.uint32)
 
-    def in_train(self) -> np.ndarray:
-        return np.repeat(self.train, self.lengths)
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, lengths) of the training texts."""
+        return self.ids[np.repeat(self.train, self.lengths)], self.lengths[self.train]
+
+    def end(self) -> int:
+        """The number of the end token."""
+        import xxhash
+
+        return int(np.searchsorted(self.vocabulary, np.uint64(xxhash.xxh64_intdigest(b""))))
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -107,17 +118,17 @@ class Counts:
         self.n = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray, extra: np.ndarray) -> bool:
-        self.parts.append((keys, counts, extra))
+        self.parts.append((keys, counts.astype(np.uint32), extra))
         self.n += len(keys)
         return self.n > FLUSH
 
     @staticmethod
     def merge(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, counts, extra = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts, extra = keys[order], counts[order], extra[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0], extra[first]
+        return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts[:0].astype(np.int64), extra[first]
 
     def rows(self, shard) -> pa.RecordBatch:
         keys, counts, extra = self.merge(self.parts)
@@ -142,7 +153,14 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def _merged(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return Counts.merge([(unpack_keys(k), np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(x, np.uint16)) for _, k, c, x in group])
+    """The counts of a shard's rows, added up in rounds, so that repeated keys are not all held at once."""
+    parts, new = [], 0
+    for _, k, c, x in group:
+        parts.append((unpack_keys(k), np.frombuffer(c, np.uint32), np.frombuffer(x, np.uint16)))
+        new += len(parts[-1][0])
+        if new > max(FLUSH, len(parts[0][0])):
+            parts, new = [Counts.merge(parts)], 0
+    return Counts.merge(parts)
 
 
 def quantised(log10_p: np.ndarray) -> np.ndarray:
@@ -150,10 +168,6 @@ def quantised(log10_p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10_p * STEP), 0, 65535).astype(np.uint16)
 
 
-def _unique_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
 class Trie:
     """The levels of a model under one folder; what it holds itself are a few numbers a shard."""
 
@@ -161,6 +175,7 @@ class Trie:
         self.root, self.shards = root, shards
         self.words = np.zeros(shards + 1, np.int64)  # first word id of each shard
         self.pairs = np.zeros(shards + 1, np.int64)  # first pair position of each shard
+        self.contexts = self.pairs  # first pair position of each file of level 3, which splits the shards of common words
         self.total = 0
 
     def file(self, level: int, shard: int) -> str:
@@ -209,12 +224,6 @@ class Trie:
             out[part] = arrays[name][at[part] - bounds[s]]
         return out
 
-    def pair_values(self, name: str, at: np.ndarray, level: int = 2) -> np.ndarray:
-        order = np.argsort(at, kind="stable")
-        out = np.empty(len(at), np.int64)
-        out[order] = self._gather(level, name, at[order], self.pairs)
-        return out
-
     def pointers(self, words: np.ndarray) -> np.ndarray:
         """Position of the first pair of each word (sorted ids)."""
         out = np.zeros(len(words), np.int64)
@@ -226,35 +235,46 @@ class Trie:
         """Quantised log probabilities of sorted triple keys, context position << 32 | relative rank; -1 if absent."""
         out = np.full(len(keys), -1)
         context = (keys >> np.uint64(32)).astype(np.int64)
-        for s, part in self._by_shard(np.searchsorted(self.pairs, context, "right") - 1):
+        for s, part in self._by_shard(np.searchsorted(self.contexts, context, "right") - 1):
             level = read_arrays(self.file(3, s))
             span, rank = int(level["span"][0]), (keys[part] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            at = EliasFano(level, "successors").find(np.where(rank < span, (context[part] - self.pairs[s]) * span + rank, -1).clip(0))
+            at = EliasFano(level, "successors").find(np.where(rank < span, (context[part] - self.contexts[s]) * span + rank, -1).clip(0))
             out[part] = np.where((at >= 0) & (rank < span), level["probs"][np.maximum(at, 0)].astype(np.int64) if len(level["probs"]) else -1, -1)
         return out
 
-    def context(self, ids: np.ndarray, lengths: np.ndarray, end: int):
-        """(previous word, position in text) of every token; the end token stands before a text."""
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        at = np.arange(len(ids)) - np.repeat(starts, lengths)
-        previous = np.concatenate(([end], ids[:-1])) if len(ids) else ids
-        return np.where(at == 0, end, previous), at
-
-    def positions(self, ids: np.ndarray, previous: np.ndarray) -> np.ndarray:
-        """Pair position (or -1) at every token."""
-        out = np.full(len(ids), -1)
-        seen = np.flatnonzero((ids >= 0) & (previous >= 0))
-        keys, back = np.unique((previous[seen].astype(np.uint64) << np.uint64(32)) | ids[seen].astype(np.uint64), return_inverse=True)
-        out[seen] = self.pair_positions(keys)[back]
-        return out
-
-    def triple_keys(self, ids: np.ndarray, previous: np.ndarray, at: np.ndarray, pair: np.ndarray):
+    def context(self, words: np.ndarray, lengths: np.ndarray, end: int):
+        """(previous word, whether it is in the text) of every token; the end token stands before a text."""
+        inside = np.ones(len(words), bool)
+        inside[np.cumsum(lengths)[:-1]] = False
+        inside[:1] = False
+        previous = np.concatenate((np.full(1, end, words.dtype), words[:-1])) if len(words) else words
+        return np.where(inside, previous, np.asarray(end, words.dtype)), inside
+
+    def positions(self, of: np.ndarray, words: np.ndarray, previous: np.ndarray):
+        """(positions, ranks among the first word's successors) of the distinct pairs known; every token's number among them or -1.
+
+        of: the id or -1 of every word number; ids go up with the numbers.
+        """
+        number = np.full(len(words), -1, np.int32)
+        seen = np.flatnonzero((of[words] >= 0) & (of[previous] >= 0))
+        keys, back = np.unique(pair_keys(previous[seen], words[seen]), return_inverse=True)
+        first = of[(keys >> np.uint64(32)).astype(np.int64)]
+        at = self.pair_positions(pair_keys(first, of[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+        hit = at >= 0
+        number[seen] = np.where(hit, np.cumsum(hit) - 1, -1).astype(np.int32)[back]
+        first, at = first[hit], at[hit]
+        heads = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.zeros(0, np.int64)
+        return at, at - np.repeat(self.pointers(first[heads]), np.diff(heads, append=len(first))), number
+
+    def triple_keys(self, inside: np.ndarray, pairs: np.ndarray, ranks: np.ndarray, number: np.ndarray):
         """(token numbers, keys) of tokens whose two pairs are both in level 2."""
-        before = np.concatenate(([-1], pair[:-1])) if len(pair) else pair
-        here = np.flatnonzero((at > 0) & (pair >= 0) & (before >= 0))
-        words, back = np.unique(previous[here], return_inverse=True)
-        rank = pair[here] - self.pointers(words)[back]
-        return here, (before[here].astype(np.uint64) << np.uint64(32)) | rank.astype(np.uint64)
+        before = np.concatenate((np.full(1, -1, np.int32), number[:-1])) if len(number) else number
+        here = np.flatnonzero(inside & (number >= 0) & (before >= 0))
+        return here, pair_keys(pairs[before[here]], ranks[number[here]])
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
 
 
 def _chunks(batches):
@@ -263,29 +283,16 @@ def _chunks(batches):
             yield Chunk(*(x.as_py() for x in row))
 
 
-def _training(chunk: Chunk, trie: Trie):
-    """(word ids, lengths, end id, word counts) of the training texts of a chunk."""
-    of, counts = trie.word_ids(chunk.vocabulary)
-    mask = chunk.in_train()
-    local = chunk.ids[mask]
-    return of[local], chunk.lengths[chunk.train], counts[local]
-
-
-def end_id(trie: Trie) -> int:
-    import xxhash
-
-    return int(trie.word_ids(np.array([xxhash.xxh64_intdigest(b"")], np.uint64))[0][0])
-
-
 def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
     """Count all levels over the training texts of a tokens_table and write their files."""
-    trie = Trie(root, max(1, -(-tokens // SHARD_TOKENS)))
+    size = SHARD_TOKENS
+    trie = Trie(root, max(1, -(-tokens // size)))
     shards = trie.shards
 
     def count_words(batches):
         found, of = Counts(), lambda keys: shard_of(keys, shards)
         for chunk in _chunks(batches):
-            n = np.bincount(chunk.ids[chunk.in_train()], minlength=len(chunk.vocabulary))
+            n = np.bincount(chunk.training()[0], minlength=len(chunk.vocabulary))
             if found.add(chunk.vocabulary[n > 0], n[n > 0], np.zeros((n > 0).sum(), np.uint16)):
                 yield found.rows(of)
         if found.parts:
@@ -294,10 +301,10 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
     def write_words(group):
         hashes, counts, _ = _merged(group)
         write_arrays(trie.file(1, group[0][0]), {"hashes": hashes, "counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
-        return [(group[0][0], len(hashes), int(counts.sum()))]
+        return [(group[0][0], len(hashes), int(counts.sum()), [])]
 
     def sizes(blobs: DataFrame, write) -> list:
-        found = by_group(blobs, ["shard"], [], write, "shard int, n long, total long").collect()
+        found = by_group(blobs, ["shard"], [], write, "shard int, n long, total long, cuts array<long>").collect()
         del blobs
         discard()  # the level's counts are no longer needed
         return found
@@ -310,20 +317,21 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
         return trie
     if trie.words[-1] >= 1 << 32:
         raise ValueError("word ids need over 32 bits")
-    end = end_id(trie)
 
     def count_pairs(batches):
-        found, of = Counts(), lambda keys: np.searchsorted(trie.words, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
+        found, shard = Counts(), lambda keys: np.searchsorted(trie.words, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
         for chunk in _chunks(batches):
-            ids, lengths, counts = _training(chunk, trie)
-            previous, at = trie.context(ids, lengths, end)
-            often = counts >= least  # others are in no pair seen that often
-            both = often & np.where(at == 0, True, np.concatenate(([True], often[:-1])) if len(often) else often)
-            keys, n = _unique_counts((previous[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64))
+            of, counts = trie.word_ids(chunk.vocabulary)
+            words, lengths = chunk.training()
+            previous, inside = trie.context(words, lengths, chunk.end())
+            often = counts[words] >= least  # others are in no pair seen that often
+            both = often & np.where(inside, np.concatenate(([True], often[:-1])) if len(often) else often, True)
+            keys, n = np.unique(pair_keys(previous[both], words[both]), return_counts=True)
+            keys = pair_keys(of[(keys >> np.uint64(32)).astype(np.int64)], of[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)])
             if found.add(keys, n, np.zeros(len(keys), np.uint16)):
-                yield found.rows(of)
+                yield found.rows(shard)
         if found.parts:
-            yield found.rows(of)
+            yield found.rows(shard)
 
     def write_pairs(group):
         shard = group[0][0]
@@ -339,7 +347,9 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
         pointers = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=len(words)))))
         arrays = EliasFano.encode(first * trie.words[-1] + second, len(words) * int(trie.words[-1]), "successors") | EliasFano.encode(pointers, len(keys) + 1, "pointers")
         write_arrays(trie.file(2, shard), arrays | {"probs": quantised(np.log10(p)), "back": quantised(np.log10(back)), "counts": counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64)})
-        return [(shard, len(keys), 0)]
+        tokens = np.cumsum(counts)
+        cuts = np.unique(np.searchsorted(tokens, np.arange(1, (int(tokens[-1]) if len(tokens) else 0) // size + 1) * size))
+        return [(shard, len(keys), 0, cuts[(cuts > 0) & (cuts < len(keys))].tolist())]
 
     def _counts_of(trie, ids):
         out = np.zeros(len(ids))
@@ -347,72 +357,82 @@ def build(chunks: DataFrame, root: str, tokens: int, least: int = 2) -> Trie:
             out[part] = read_arrays(trie.file(1, s))["counts"][ids[part] - trie.words[s]]
         return out
 
-    for r in sizes(chunks.mapInArrow(count_pairs, BLOB), write_pairs):
+    found = sizes(chunks.mapInArrow(count_pairs, BLOB), write_pairs)
+    for r in found:
         trie.pairs[r["shard"] + 1] = r["n"]
     trie.pairs = np.cumsum(trie.pairs)
+    trie.contexts = np.sort(np.concatenate([trie.pairs, *(trie.pairs[r["shard"]] + np.array(r["cuts"], np.int64) for r in found)]))
     if trie.pairs[-1] >= 1 << 32:
         raise ValueError("pair positions need over 32 bits")
 
     def count_triples(batches):
-        found, of = Counts(), lambda keys: np.searchsorted(trie.pairs, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
+        found, shard = Counts(), lambda keys: np.searchsorted(trie.contexts, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
         for chunk in _chunks(batches):
-            ids, lengths, _ = _training(chunk, trie)
-            previous, at = trie.context(ids, lengths, end)
-            pair = trie.positions(ids, previous)
-            here, keys = trie.triple_keys(ids, previous, at, pair)
-            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-            if found.add(keys, n, trie.pair_values("probs", pair[here[first]]).astype(np.uint16)):
-                yield found.rows(of)
+            of, _ = trie.word_ids(chunk.vocabulary)
+            words, lengths = chunk.training()
+            previous, inside = trie.context(words, lengths, chunk.end())
+            pairs, ranks, number = trie.positions(of, words, previous)
+            here, keys = trie.triple_keys(inside, pairs, ranks, number)
+            order = np.argsort(keys)
+            keys, here = keys[order], here[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            lower = trie._gather(2, "probs", pairs, trie.pairs)[number[here[first]]]
+            if found.add(keys[first], np.diff(first, append=len(keys)), lower.astype(np.uint16)):
+                yield found.rows(shard)
         if found.parts:
-            yield found.rows(of)
+            yield found.rows(shard)
 
     def write_triples(group):
         shard = group[0][0]
         keys, counts, lower = _merged(group)
         often = counts >= least
         keys, counts, lower = keys[often], counts[often], lower[often]
-        pairs = read_arrays(trie.file(2, shard))["counts"].astype(np.float64)
-        context, rank = (keys >> np.uint64(32)).astype(np.int64) - trie.pairs[shard], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start, of = trie.contexts[shard], np.searchsorted(trie.pairs, trie.contexts[shard], "right") - 1
+        pairs = read_arrays(trie.file(2, of))["counts"][start - trie.pairs[of] : trie.contexts[shard + 1] - trie.pairs[of]].astype(np.float64)
+        context, rank = (keys >> np.uint64(32)).astype(np.int64) - start, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         back = np.clip(1 - np.bincount(context, counts - DISCOUNT, len(pairs)) / pairs, 1e-9, 1)
         p = (counts - DISCOUNT) / pairs[context] + back[context] * 10 ** (lower.astype(np.float64) / -STEP)
         span = int(rank.max()) + 1 if len(rank) else 1
         arrays = EliasFano.encode(context * span + rank, len(pairs) * span, "successors")
         write_arrays(trie.file(3, shard), arrays | {"span": np.array([span]), "probs": quantised(np.log10(p)), "back": quantised(np.log10(back))})
-        return [(shard, len(keys), 0)]
+        return [(shard, len(keys), 0, [])]
 
     written = {r["shard"] for r in sizes(chunks.mapInArrow(count_triples, BLOB), write_triples)}
     empty = np.zeros(0, np.int64)
-    for s in range(shards):  # shards with pairs but no triples
-        n = int(trie.pairs[s + 1] - trie.pairs[s])
+    for s in range(len(trie.contexts) - 1):  # those with pairs but no triples
+        n = int(trie.contexts[s + 1] - trie.contexts[s])
         if n and s not in written:
             write_arrays(trie.file(3, s), EliasFano.encode(empty, n, "successors") | {"span": np.array([1]), "probs": empty.astype(np.uint16), "back": np.zeros(n, np.uint16)})
     return trie
 
 
-def log10_probs(trie: Trie, ids: np.ndarray, lengths: np.ndarray, word_log10: np.ndarray, end: int) -> np.ndarray:
-    """log10 probability of every token, given the two before it."""
-    previous, at = trie.context(ids, lengths, end)
-    pair = trie.positions(ids, previous)
+def log10_probs(trie: Trie, of: np.ndarray, words: np.ndarray, lengths: np.ndarray, word_log10: np.ndarray, end: int) -> np.ndarray:
+    """log10 probability of every token, given the two before it; of: the id or -1 of every word number."""
+    previous, inside = trie.context(words, lengths, end)
+    pairs, ranks, number = trie.positions(of, words, previous)
     out = word_log10.copy()
     # back-off weight of the previous word where the pair is unknown
-    known = np.flatnonzero((pair < 0) & (previous >= 0))
-    words, back = np.unique(previous[known], return_inverse=True)
-    weight = np.zeros(len(words))
-    for s, part in trie._by_shard(np.searchsorted(trie.words, words, "right") - 1):
+    known = np.flatnonzero((number < 0) & (of[previous] >= 0))
+    needed = np.zeros(len(of), bool)
+    needed[previous[known]] = True
+    needed = np.flatnonzero(needed)
+    ids, weight, weights = of[needed], np.zeros(len(needed)), np.zeros(len(of))
+    for s, part in trie._by_shard(np.searchsorted(trie.words, ids, "right") - 1):
         if trie.pairs[s + 1] > trie.pairs[s]:
-            weight[part] = read_arrays(trie.file(2, s))["back"][words[part] - trie.words[s]]
-    out[known] -= weight[back] / STEP
-    hit = np.flatnonzero(pair >= 0)
-    out[hit] = -trie.pair_values("probs", pair[hit]) / STEP
-    before = np.concatenate(([-1], pair[:-1])) if len(pair) else pair
-    here, keys = trie.triple_keys(ids, previous, at, pair)
+            weight[part] = read_arrays(trie.file(2, s))["back"][ids[part] - trie.words[s]]
+    weights[needed] = weight
+    out[known] -= weights[previous[known]] / STEP
+    hit = np.flatnonzero(number >= 0)
+    out[hit] = -trie._gather(2, "probs", pairs, trie.pairs)[number[hit]] / STEP
+    here, keys = trie.triple_keys(inside, pairs, ranks, number)
     unique, inverse = np.unique(keys, return_inverse=True)
     found = trie.triple_probs(unique)[inverse]
-    third = np.zeros(len(ids), bool)
+    third = np.zeros(len(words), bool)
     third[here[found >= 0]] = True
     out[here[found >= 0]] = -found[found >= 0] / STEP
-    lost = np.flatnonzero((at > 0) & (before >= 0) & ~third)
-    out[lost] -= trie.pair_values("back", before[lost], 3) / STEP
+    before = np.concatenate((np.full(1, -1, np.int32), number[:-1])) if len(number) else number
+    lost = np.flatnonzero(inside & (before >= 0) & ~third)
+    out[lost] -= trie._gather(3, "back", pairs, trie.contexts)[before[lost]] / STEP
     return out
 
 
@@ -420,18 +440,16 @@ def score_chunks(chunks: DataFrame, trie: Trie, kind: str) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) for every text of a tokens_table."""
 
     def run(batches):
-        end = end_id(trie) if trie.total else -1
         for batch in batches:
             for k, *row in zip(*(batch.column(c) for c in ("keys", "train", "lengths", "vocabulary", "ids"))):
                 chunk = Chunk(*(x.as_py() for x in row))
                 of, counts = trie.word_ids(chunk.vocabulary)
                 base = trie.word_log10(counts)[chunk.ids]
-                ids = of[chunk.ids]
-                p = log10_probs(trie, ids, chunk.lengths, base, end) if trie.total else base
+                p = log10_probs(trie, of, chunk.ids, chunk.lengths, base, chunk.end()) if trie.total else base
                 starts = np.concatenate(([0], np.cumsum(chunk.lengths)[:-1]))
                 total = lambda x: np.add.reduceat(x, starts)
                 n = len(starts)
-                columns = [k.values, pa.array(chunk.train), pa.array(chunk.lengths), pa.array(total((ids >= 0).astype(np.int64))), pa.array(np.full(n, trie.total, np.int64)), pa.array(total(base)), pa.array(total(p))]
+                columns = [k.values, pa.array(chunk.train), pa.array(chunk.lengths), pa.array(total((of >= 0).astype(np.int64)[chunk.ids])), pa.array(np.full(n, trie.total, np.int64)), pa.array(total(base)), pa.array(total(p))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return chunks.mapInArrow(run, f"key {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
